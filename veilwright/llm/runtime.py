@@ -3,29 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-PACKAGE = Path(__file__).resolve().parent.parent
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each Spark context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_veilwright_shipped", False):
-        return
-    path = os.path.join(tempfile.mkdtemp(prefix="veilwright-"), f"{PACKAGE.name}.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(PACKAGE.rglob("*.py")):
-            z.write(p, str(p.relative_to(PACKAGE.parent)))
-    sc.addPyFile(path)
-    sc._veilwright_shipped = True
+from veilwright.session import ship
 
+__all__ = ["Scratch", "fresh", "shared_root", "ship"]
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset on a
