@@ -45,6 +45,8 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2)
     lines = lines.select("o", "t", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     lines = scratch.keep(lines.select("o", "t", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2")), "lines")
     repeated = lines.groupBy("h1", "h2").agg(F.count_distinct("o").alias("n"), F.min("o").alias("first")).where(F.col("n") >= min_docs)
+    # a table of its own: only a join of two plain exchanges can split the rows of a very common line
+    repeated = scratch.keep(repeated, "repeated")
     gone = lines.join(repeated, ["h1", "h2"]).where("o <> first").groupBy("o", "t").agg(F.collect_set("pos").alias(d))
     gone = gone.select(F.col("o").alias(o), F.col("t").alias(t), d)
     text, own = F.col("text"), {"n_lines", "n_dropped", "kept_text"}
