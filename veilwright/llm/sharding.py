@@ -40,9 +40,10 @@ def balanced(sizes: Sequence[int], shards: int) -> list[int]:
     return out
 
 
-def rebalanced(sizes: Sequence[int], old: Sequence[int], shards: int) -> list[int]:
+def rebalanced(sizes: Sequence[int], old: Sequence[int], shards: int, tolerance: float = 0.02) -> list[int]:
     """old, edited for other sizes or another number of shards: slots of shards that are no more, and then of
-    the fullest ones, go to the emptiest for as long as that lessens the fullest. Other slots stay."""
+    the fullest ones, go to the emptiest until these two are within a share `tolerance` of the mean, or no move
+    brings them closer. Other slots stay."""
     out, totals = list(old), [0] * shards
     homeless = [i for i, s in enumerate(out) if s >= shards]
     for i, s in enumerate(out):
@@ -56,7 +57,7 @@ def rebalanced(sizes: Sequence[int], old: Sequence[int], shards: int) -> list[in
         bare = min(range(shards), key=lambda s: (totals[s], s))
         gap = totals[full] - totals[bare]
         fits = [i for i, s in enumerate(out) if s == full and 0 < sizes[i] < gap]
-        if not fits:
+        if not fits or gap * shards <= tolerance * sum(totals):
             break
         i = min(fits, key=lambda i: (abs(sizes[i] - gap / 2), i))
         out[i] = bare
@@ -65,6 +66,26 @@ def rebalanced(sizes: Sequence[int], old: Sequence[int], shards: int) -> list[in
     return out
 
 
+def grown(sizes: Sequence[int], old: Sequence[int], shards: int) -> list[int]:
+    """old, edited for more shards: slots go from the fullest shards to new ones only, until these have their share."""
+    out, totals = list(old), [0] * shards
+    for i, s in enumerate(out):
+        totals[s] += sizes[i]
+    share = sum(totals) / shards
+    for new in range(max(old, default=-1) + 1, shards):
+        while True:
+            full = max(range(shards), key=lambda s: (totals[s], -s))
+            room = min(share - totals[new], totals[full] - totals[new])
+            fits = [i for i, s in enumerate(out) if s == full and 0 < sizes[i] <= room]
+            if full == new or not fits:
+                break
+            i = min(fits, key=lambda i: (abs(sizes[i] - (totals[full] - share)), i))
+            out[i] = new
+            totals[full] -= sizes[i]
+            totals[new] += sizes[i]
+    return out
+
+
 def slot_sizes(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(slot, bytes, rows) of the slots that have rows: at most as many rows as slots."""
     text = F.col(text_col)
