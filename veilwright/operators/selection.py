@@ -114,14 +114,14 @@ def clean_candidates(df: DataFrame) -> DataFrame:
     given = [F.col(c) for c in ("interviewee_candidates", "interviewee_candiates") if c in df.columns]
     names = F.array_distinct(F.filter(F.transform(F.coalesce(*given, dims.text_array(())), T.normalize), lambda n: n != ""))
     rest = [c for c in df.columns if c not in ("interviewee_candidates", "interviewee_candiates", "identity_label", "confidence")]
-    out = df.select(*rest, names.alias("names"), T.normalize(F.col("identity_label")).alias("label"), T.for_match(F.col("confidence")).alias("confidence"))
-    return out.where((F.size("names") > 0) | (F.col("label") != ""))
+    out = df.select(*rest, names.alias("names"), T.normalize(F.col("identity_label")).alias("identity_label"), T.for_match(F.col("confidence")).alias("confidence"))
+    return out.where((F.size("names") > 0) | (F.col("identity_label") != ""))
 
 
 def rank_candidates(df: DataFrame, by: list[str], most: int | None = None) -> DataFrame:
     """clean_candidates() with candidate_index from 1 in each group: higher confidence first, then those with a label,
     then more names, then pos; `most` of them if given."""
-    order = [F.desc(T.confidence_rank(F.col("confidence"))), F.desc(F.col("label") != ""), F.desc(F.size("names")), F.asc("pos")]
+    order = [F.desc(T.confidence_rank(F.col("confidence"))), F.desc(F.col("identity_label") != ""), F.desc(F.size("names")), F.asc("pos")]
     out = clean_candidates(df).withColumn("candidate_index", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     return out if not most else out.where(F.col("candidate_index") <= most)
 

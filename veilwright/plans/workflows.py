@@ -198,7 +198,7 @@ def reid_compare(rows: DataFrame, reference: str, backend: Backend = ReplayBacke
     shared = selection.shared_ids(rows, "transcript_id", "label", labels)
     each = rows.join(shared, "transcript_id").select("transcript_id", "label", F.posexplode("identifier_candidates").alias("pos", "c")).select("transcript_id", "label", "pos", "c.*")
     on = ["transcript_id", "label"]
-    ranked = selection.rank_candidates(each, on, most).withColumn("descriptions", facts.descriptions(F.col("names"), F.col("label_text") if "label_text" in each.columns else F.lit("")))
+    ranked = selection.rank_candidates(each, on, most).withColumn("descriptions", facts.descriptions(F.col("names"), F.col("identity_label")))
     many = ranked.where(F.size("descriptions") > 1)
     united = parsed(_ask(many, "merge_descriptions", F.array_join("descriptions", "\n"), F.concat_ws("#", *on, "candidate_index"), backend, o, responses, [*on, "candidate_index", "descriptions"]), "unified_description string", out="u")
     longest = lambda d: F.reduce(d, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))

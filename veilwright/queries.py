@@ -276,7 +276,7 @@ _CANDIDATES = f"""SELECT user_id, event_id AS pos, CASE event_id % 3 WHEN 0 THEN
     WITH c AS ({_CANDIDATES}), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rank DESC, (label <> '') DESC, n_names DESC, pos) AS candidate_index FROM c WHERE n_names > 0 OR label <> '')
     SELECT user_id, pos, label, confidence, n_names::INTEGER AS n_names, candidate_index::INTEGER AS candidate_index FROM r WHERE candidate_index <= 5""")
 def rank_candidates(spark, d):
-    return selection.rank_candidates(_candidates(spark, d), ["user_id"], 5).select("user_id", "pos", "label", "confidence", F.size("names").alias("n_names"), "candidate_index")
+    return selection.rank_candidates(_candidates(spark, d), ["user_id"], 5).select("user_id", "pos", F.col("identity_label").alias("label"), "confidence", F.size("names").alias("n_names"), "candidate_index")
 
 
 @query(f"""

@@ -109,7 +109,7 @@ def new_inputs(spark: SparkSession, path: str, done: DataFrame, id_col: str, tex
 def reid_rows(spark: SparkSession, path: str) -> DataFrame:
     """transcript_id (normalised), pos, identifier_candidates of a JSON file: a list, or an object with a list under
     results, rows or data. Candidates that aren't a list are none; the last of an id wins."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     doc = whole.select(F.try_parse_json("value").alias("v"))
     lists = F.coalesce(*[F.try_variant_get("v", p, "array<variant>") for p in ("$.results", "$.rows", "$.data", "$")])
     rows = doc.select(F.posexplode(lists).alias("pos", "r"))
@@ -122,14 +122,14 @@ def json_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The rows of a JSON file that holds a list, with pos; empty if there is no file or no list in it."""
     if not exists(spark, path):
         return spark.createDataFrame([], f"pos int, {schema}")
-    whole = spark.read.option("wholetext", True).text(path).select(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>").alias("l"))
+    whole = spark.read.text(path, wholetext=True).select(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>").alias("l"))
     return whole.select(F.posexplode("l").alias("pos", "r")).select("pos", F.from_json(F.to_json("r"), schema).alias("r")).select("pos", "r.*")
 
 
 def fact_files(spark: SparkSession, root: str) -> DataFrame:
     """transcript_id, facts of a folder of JSON files but all_code_facts.json. The id is the file's, normalised, or its
     name; fails if there is none."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(root).select("value", F.col("_metadata.file_name").alias("name"))
+    files = spark.read.text(root, wholetext=True, pathGlobFilter="*.json").select("value", F.col("_metadata.file_name").alias("name"))
     got = files.where("name <> 'all_code_facts.json'").select("name", F.from_json("value", FACT_FILE).alias("r"))
     own = F.coalesce(F.nullif(T.dataset_id(F.col("r.transcript_id")), F.lit("")), T.dataset_id(F.regexp_replace("name", r"\.json$", "")))
     out = got.select(own.alias("transcript_id"), F.col("r.facts").alias("facts"), "name")
