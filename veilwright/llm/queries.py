@@ -86,6 +86,23 @@ ORACLE: dict[str, str] = {
         per AS (SELECT doc_id, count(*) FILTER (cut) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT cut) AS kept FROM marked GROUP BY doc_id)
         SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM docs d LEFT JOIN per p ON d.doc_id = p.doc_id""",
+    "op8_mixing": f"""
+        WITH good AS (SELECT doc_id, coalesce(max(quality), 0) > 0 AS good FROM labels GROUP BY doc_id),
+        d AS (SELECT d.doc_id, source, len({_WORDS})::BIGINT AS size, CASE WHEN good THEN 2 ELSE 1 END AS weight,
+            (('0x' || substr(md5(d.doc_id::VARCHAR), 1, 13))::BIGINT + 1) / 4503599627370496.0::DOUBLE AS u FROM documents d LEFT JOIN good g ON d.doc_id = g.doc_id),
+        k AS (SELECT *, CASE WHEN weight = 2 THEN sqrt(u) ELSE u END AS k FROM d),
+        s AS (SELECT source, sum(size)::BIGINT AS n FROM k GROUP BY source),
+        w AS (SELECT source, n, 2.0::DOUBLE * n AS most, ([5.0, 2.0, 1.0])[((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INTEGER]::DOUBLE AS w FROM s),
+        l AS (SELECT *, (sum(n) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / sum(w) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
+            WINDOW f AS (ORDER BY most / w, source ASC NULLS LAST)),
+        o AS (SELECT *, first_value(CASE WHEN level * w < most THEN level END IGNORE NULLS) OVER (ORDER BY most / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS open FROM l),
+        t AS (SELECT source, n, CASE WHEN open IS NULL THEN most ELSE least(open * w, most) END AS target FROM o),
+        e AS (SELECT *, CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END::BIGINT AS epochs FROM t),
+        c AS (SELECT k.*, n, target, epochs, target - epochs * n AS rest, sum(size) OVER (PARTITION BY k.source ORDER BY k DESC, doc_id) AS cum FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source),
+        m AS (SELECT *, cum <= rest AND rest > 0 AS chosen, rest - coalesce(max(CASE WHEN cum <= rest THEN cum END) OVER (PARTITION BY source), 0) AS gap FROM c),
+        x AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN NOT chosen AND rest > 0 AND size > 0 AND abs(size - gap) < gap THEN 0 ELSE 1 END, abs(size - gap), k DESC, doc_id) AS rn FROM m),
+        y AS (SELECT *, least(epochs + CASE WHEN chosen OR (rn = 1 AND rest > 0 AND size > 0 AND abs(size - gap) < gap) THEN 1 ELSE 0 END, 2)::BIGINT AS times FROM x)
+        SELECT doc_id, size, n AS source_size, target, (size * times)::BIGINT AS taken, weight::INTEGER AS weight, times FROM y""",
     "op9_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
             WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
