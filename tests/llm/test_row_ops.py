@@ -84,6 +84,14 @@ def test_substring_dedup(spark, n):
     assert substring.repeat_digest(table(spark, []), n).collect() == []
 
 
+def test_repeat_lengths_double_until_none_survives(spark):
+    a = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(a), None), (2, " ".join(["x", *a[10:57], "y", *a[100:110]]), None), (3, " ".join(a[190:]), None), (None, " ".join(a[:12]), None), (5, None, None), (6, "z " * 100, None)]
+    got = sorted((r.doc_id or -1, r.longest) for r in substring.repeat_lengths(table(spark, rows), 5).collect())
+    assert got == [(-1, 10), (1, 40), (2, 40), (3, 10)]
+    assert substring.repeat_lengths(table(spark, []), 5).collect() == []
+
+
 def test_rows_of_one_id_with_other_texts(spark):
     rows = [(1, "a b c d e f", None), (1, "z a b c d e", None), (2, "a b c d e q", None)]
     assert Counter(map(tuple, substring.repeat_digest(table(spark, rows), 4).collect())) == Counter(plain_repeats(rows, 4))

@@ -125,6 +125,19 @@ def _second_level(min_words: int):
     return run
 
 
+def _all_windows(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for o, t, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.large_binary()).to_pylist(), strict=True):
+                w = Windows(word_hashes(text))
+                for i in range(0, w.n - length + 1, 1 << 16):
+                    s = np.arange(i, min(i + (1 << 16), w.n - length + 1))
+                    one, two = w.hashes(s, length)
+                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(np.full(len(s), o)), pa.array(np.full(len(s), t, dtype=np.int32)), pa.array(s.astype(np.int32))], names=["w1", "w2", "o", "t", "start"])
+
+    return run
+
+
 def keep_mask(n: int, starts: np.ndarray, length: int) -> np.ndarray:
     """Which of n words no window covers."""
     cover = np.zeros(n + 1, dtype=np.int64)
@@ -147,6 +160,36 @@ def _cut(min_words: int):
     return run
 
 
+def repeat_lengths(docs: DataFrame, min_words: int = 50) -> DataFrame:
+    """doc_id and longest, for each document with a window of min_words words that another document has too: the
+    greatest length among min_words, twice it, four times it and so on at which one of its windows still repeats.
+
+    Windows that repeat at one length are joined with those that follow on, which makes windows of twice the length
+    by hashes alone, until none repeats. Here equal documents aren't collapsed: their windows repeat as well.
+    """
+    ship(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "lengths")
+    o, t = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("o"), F.hash("text").alias("t")
+    long = docs.where("text is not null").select(o, t, F.col("text").cast("string").alias("text")).mapInArrow(_all_windows(min_words), "w1 long, w2 long, o long, t int, start int")
+    found, length, now = None, min_words, scratch.keep(long, "all")
+    while True:
+        shared = scratch.keep(now.groupBy("w1", "w2").agg(F.min("o").alias("a"), F.max("o").alias("b")).where("a < b").select("w1", "w2"), "shared")
+        last, now = now, scratch.keep(now.join(shared, ["w1", "w2"], "left_semi"), "repeated")
+        scratch.drop(last)
+        if now.isEmpty():
+            break
+        reached = scratch.keep(now.groupBy("o").agg(F.lit(length).alias("longest")), "reached")
+        found = reached if found is None else found.unionByName(reached)
+        after = now.select(F.col("w1").alias("x1"), F.col("w2").alias("x2"), "o", "t", (F.col("start") - length).alias("start"))
+        twice = now.join(after, ["o", "t", "start"])
+        last, now = now, scratch.keep(twice.select(F.xxhash64("w1", "x1").alias("w1"), F.xxhash64(F.lit("two"), "w2", "x2").alias("w2"), "o", "t", "start"), "twice")
+        scratch.drop(last)
+        length *= 2
+    if found is None:
+        found = docs.sparkSession.createDataFrame([], "o long, longest int")
+    return found.groupBy("o").agg(F.max("longest").alias("longest")).select(F.when(F.col("o") != NO_ID, F.col("o")).alias("doc_id"), "longest")
+
+
 def _levels(docs: DataFrame, min_words: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """base: a row of doc_id, o, t, n, sha, first for each row of docs, where first is the smallest o with the same
     words; cut: o, t, n_removed, kept_text of those first documents that lose words."""
