@@ -13,7 +13,7 @@ from veilwright.functions import udfs
 from veilwright.operators import attributes as A
 from veilwright.operators import compare, facts, leakage, masking, recover, selection
 from veilwright.plans import models, workflows
-from veilwright.session import ship
+from veilwright.session import exchange_path, ship
 from veilwright.sources import readers, sinks, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,27 @@ def text_map_load(spark, d):
     return readers.text_map(docs, "source", "text").select("transcript_id", "text", "pos")
 
 
+_STRIPPED = f"""
+    WITH t AS (SELECT conv_id::VARCHAR AS transcript_id, string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn, coalesce(role, '') || ': ' || coalesce(text, '')) AS text FROM conversations GROUP BY conv_id)
+    SELECT transcript_id, {_strip("text")} AS text FROM t WHERE {_strip("text")} <> ''"""
+
+
+@query(_STRIPPED)
+def jsonl_round_trip(spark, d):
+    t = readers.conversations_as_transcripts(table(spark, d, "conversations"))
+    path = exchange_path(spark, "jsonl")
+    sinks.write_json(t.select(F.col("transcript_id").cast("string").alias("conversation_id"), F.col("text").alias("user_message")), path)
+    return readers.transcripts(spark, path).select("transcript_id", "text")
+
+
+@query(_STRIPPED)
+def csv_round_trip(spark, d):
+    t = readers.conversations_as_transcripts(table(spark, d, "conversations"))
+    path = exchange_path(spark, "csv")
+    sinks.write_csv(t.select(F.col("transcript_id").cast("string").alias("transcript_id"), "text"), path)
+    return readers.rewrites(spark, path).where("text <> ''").select("transcript_id", "text")
+
+
 @query("""
     WITH want AS (SELECT i - 1 AS req_pos, trim(ids[i]) AS req_id FROM (SELECT string_split('12, 7,7, ,999999999,3', ',') AS ids), unnest(range(1, 7)) t(i))
     SELECT req_pos::INTEGER AS req_pos, doc_id, n_chars FROM documents JOIN want ON doc_id::VARCHAR = req_id WHERE req_id <> ''""")

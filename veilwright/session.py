@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,13 +26,27 @@ def ship(spark: SparkSession) -> None:
     sc._veilwright_shipped = True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or, where that is unset on a single machine, a folder of its own."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if given:
+        return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    own = f"file://{tempfile.mkdtemp(prefix='veilwright-shared-')}"
+    spark.sparkContext.setCheckpointDir(own)
+    return own
+
+
+def exchange_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for files that a query writes and reads again."""
+    return f"{shared_folder(spark)}/veilwright/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by files in spark.checkpoint.dir, or, where that is unset on a single machine, in a
-    folder of its own."""
+    """df with its lineage cut by files in the shared folder."""
     sc = df.sparkSession.sparkContext
-    given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    folder = shared_folder(df.sparkSession)
     if not sc.getCheckpointDir():
-        if not given and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(given or f"file://{tempfile.mkdtemp(prefix='veilwright-checkpoints-')}")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
