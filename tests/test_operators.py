@@ -107,6 +107,16 @@ def test_attribute_lists(spark):
     assert df.select(A.aliases(F.col("c")[0]).alias("a")).collect()[0].a == ["Job", "the job", "JOB_TITLE"]
 
 
+def test_export_is_the_fold_over_all_documents(spark):
+    a = lambda k, n, t: (k, n, t, None, None)
+    docs = [("d2", [a("PET", "Pet", "pets"), a("CAR", "Car", "cars")]), ("d1", [a("X", "pet ", "other"), a("AGE", "q", "r")]), ("d3", [a("CAR", "Car", "cars"), a("Y", "y", "other"), a("Z", "z", "z")])]
+    df = spark.createDataFrame(docs, f"d string, found {A.LIST}")
+    r = A.export(df, "d", "found").collect()[0]
+    assert [x.key for x in r.attributes][8:] == ["X", "CAR", "Z"] and (r.base_count, r.new_count, r.total_count) == (8, 3, 11)
+    assert A.export(df.limit(0), "d", "found").collect()[0].new_count == 0
+    assert rows(A.export_counts(df, "d", "found"), "d", "new_attributes") == [("d1", 2), ("d2", 2), ("d3", 3)]
+
+
 FACT = "g string, fact string, pos long, supporting_candidates array<int>, source_fields array<string>, confidences array<string>, confidence_weight double"
 
 

@@ -79,11 +79,21 @@ def scope(base: Column, dynamic: Column) -> Column:
 
 
 def export(per_document: DataFrame, id_col: str, column: str) -> DataFrame:
-    """One row: counts, the union of the base and all documents' lists (documents in order of their ids), and the
-    numbers per document. It gathers a run's scopes, a dimension of the run, and is meant for its report."""
-    sorted_ = F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(column).alias("list"))))
-    one = per_document.agg(sorted_.alias("docs"))
-    union = merge(base_list(), F.flatten(F.transform("docs", lambda d: d["list"])))
-    counts = F.map_from_entries(F.transform("docs", lambda d: F.struct(d["id"], F.size(d["list"]))))
-    n = len(dims.ATTRIBUTES)
-    return one.select(F.lit(n).alias("base_count"), (F.size(union) - n).alias("new_count"), F.size(union).alias("total_count"), union.alias("attributes"), counts.alias("per_transcript_new_counts"))
+    """One row: base_count, new_count, total_count and attributes, the union of the base and all documents' lists in
+    order of their ids.
+
+    An attribute that some document had before, with the same key, name and target, never changes the union. So only
+    the first of each goes on, counted down before the shuffle, and what is folded in one place is as long as there
+    are different attributes, not documents.
+    """
+    each = per_document.select(F.col(id_col).alias("id"), F.posexplode(column).alias("pos", "a"))
+    same = [F.upper(T.strip(F.col("a.key"))), F.lower(T.strip(F.col("a.display_name"))), F.lower(T.strip(F.col("a.target_str")))]
+    first = each.groupBy(*[c.alias(n) for c, n in zip(same, ("k", "n", "t"), strict=True)]).agg(F.min_by(F.struct("id", "pos", "a"), F.struct("id", "pos")).alias("x")).select("x.*")
+    one = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "pos", "a"))), lambda x: x["a"]).cast(LIST).alias("found"))
+    union, n = merge(base_list(), F.col("found")), len(dims.ATTRIBUTES)
+    return one.select(F.lit(n).alias("base_count"), (F.size(union) - n).alias("new_count"), F.size(union).alias("total_count"), union.alias("attributes"))
+
+
+def export_counts(per_document: DataFrame, id_col: str, column: str) -> DataFrame:
+    """The number of attributes found for each document."""
+    return per_document.select(id_col, F.size(column).alias("new_attributes"))
