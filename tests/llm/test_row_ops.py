@@ -175,11 +175,12 @@ def test_mixing(spark):
         assert len(by[s] - {None}) <= 2  # complete epochs, and the part of one more
     again = mixing.mix_report(table(spark, rows[::-1]).repartition(5), labels).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
-    mixed = Counter(r.doc_id for r in mixing.mix(table(spark, rows), labels).select("doc_id").collect())
-    times = Counter()
-    for r in got:
-        times[r.doc_id] += r.times
-    assert mixed == +times
+    for given in (labels, None):
+        mixed = Counter(r.doc_id for r in mixing.mix(table(spark, rows), given).select("doc_id").collect())
+        times = Counter()
+        for r in mixing.mix_report(table(spark, rows), given).collect():
+            times[r.doc_id] += r.times
+        assert mixed == +times
     assert mixing.mix_report(table(spark, []), labels).collect() == [] == mixing.mix(table(spark, []), None).collect()
 
 

@@ -105,11 +105,16 @@ def _times(k: str, o: str, cut: str) -> Column:
     return F.least(c["epochs"] + more.cast("long"), F.lit(int(CAP)).cast("long"))
 
 
-def quality_weights(docs: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, str]:
+def text_weight(text: Column) -> Column:
+    """Quality weight by the text alone: 2 if its words, with the white space after them, are 4 to 11 characters long
+    on average, as prose's are, else 1."""
+    n = n_words(text)
+    return F.when((n > 0) & (F.length(text) >= 4 * n) & (F.length(text) <= 11 * n), 2).otherwise(1)
+
+
+def label_weights(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, str]:
     """docs and the name of a new column: weight 2 for a document that labels (doc_id, quality) call good, else 1."""
     w, i = fresh(docs, "weight", "labelled_id")
-    if labels is None:
-        return docs.withColumn(w, F.lit(1)), w
     good = labels.groupBy(F.col("doc_id").cast("long").alias(i)).agg((F.coalesce(F.max("quality"), F.lit(0)) > 0).cast("int").alias(w)).where(F.col(w) == 1)
     joined = docs.join(good, docs["doc_id"].cast("long") == good[i], "left")
     return joined.select(*[docs[c] for c in docs.columns], (F.coalesce(good[w], F.lit(0)) + 1).alias(w)), w
@@ -118,8 +123,8 @@ def quality_weights(docs: DataFrame, labels: DataFrame | None) -> tuple[DataFram
 def _narrow(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """doc_id, source, size, weight, s, k, o. Words are counted before rows meet labels, so only numbers are shuffled."""
     id_, text = F.col("doc_id"), F.col("text")
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(text).alias("size"), uniform(id_, text).alias("u"))
-    weighed, w = quality_weights(sized, labels)
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(text).alias("size"), uniform(id_, text).alias("u"), text_weight(text).alias("weight"))
+    weighed, w = (sized, "weight") if labels is None else label_weights(sized.drop("weight"), labels)
     return weighed.select("doc_id", "source", "size", F.col(w).alias("weight"), source_key(F.col("source")).alias("s"), key(F.col("u"), F.col(w)).alias("k"), F.coalesce(id_.cast("long"), F.lit(NO_ID)).alias("o"))
 
 
@@ -128,7 +133,7 @@ def mix_report(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     source), taken (words the mix takes: size times the number of times), weight, times.
 
     Documents are taken whole, twice at most. A null text has size 0 and is never counted; a null source is a
-    source; a null doc_id draws its key from its text; rows that repeat a doc_id share its key and are taken
+    source; a null doc_id draws its key from its text; without labels the weight is text_weight(); rows that repeat a doc_id share its key and are taken
     together; an empty table gives none. Reruns agree, as nothing is drawn but hashes.
     """
     scratch = Scratch(docs.sparkSession, "mix")
@@ -138,9 +143,14 @@ def mix_report(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 
 def mix(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """The mix itself: each row of docs as often as mix_report() takes it, columns unchanged."""
+    """The mix itself: each row of docs as often as mix_report() takes it, columns unchanged. Without labels no text is
+    shuffled: the cuts, a row per source, meet the rows where they are."""
     scratch = Scratch(docs.sparkSession, "mix")
-    weighed, w = quality_weights(docs, labels)
+    if labels is None:
+        (w,) = fresh(docs, "weight")
+        weighed = docs.withColumn(w, text_weight(F.col("text")))
+    else:
+        weighed, w = label_weights(docs, labels)
     k, o, s, c, n = fresh(weighed, "k", "o", "s", "c", "n")
     text, id_ = F.col("text"), F.col("doc_id")
     own = {k: key(uniform(id_, text), F.col(w)), o: F.coalesce(id_.cast("long"), F.lit(NO_ID)), s: source_key(F.col("source").cast("string"))}
