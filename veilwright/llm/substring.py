@@ -198,15 +198,20 @@ def _levels(docs: DataFrame, min_words: int, scratch: Scratch) -> tuple[DataFram
     level = docs.select(F.col("doc_id").cast("long").alias("doc_id"), o, t, text).mapInArrow(_first_level(min_words), "doc_id long, o long, t int, n long, sha string, at array<int>, h array<long>")
     level = scratch.keep(level, "half")
     same = level.where(F.col("n") >= min_words).groupBy("sha").agg(F.min("o").alias("first"), F.max("o").alias("last")).where("first < last").select("sha", "first")
+    # this and two more below are tables of their own: only a join of two plain exchanges can split the rows of a very
+    # large group of copies, or of a very common passage
+    same = scratch.keep(same, "same")
     level = level.join(same, "sha", "left").withColumn("first", F.coalesce("first", "o"))
     base = scratch.keep(level.select("doc_id", "o", "t", "n", "sha", "first"), "base")
     halves = scratch.keep(level.where("o = first and at is not null").select("o", "t", F.explode(F.arrays_zip("at", "h")).alias("x")).select("o", "t", "x.at", "x.h"), "halves")
     shared = halves.groupBy("h").agg(F.min("o").alias("a"), F.max("o").alias("b")).where("a < b").select("h")
+    shared = scratch.keep(shared, "shared")
     some = halves.join(shared, "h", "left_semi").groupBy("o", "t").agg(F.collect_set("at").alias("at"))
     whole = docs.select(o, t, text).join(some, ["o", "t"]).select("o", "t", "text", "at")
     whole = scratch.keep(whole, "whole")
     windows = scratch.keep(whole.mapInArrow(_second_level(min_words), "w1 long, w2 long, o long, t int, start int"), "windows")
     before = windows.groupBy("w1", "w2").agg(F.min("o").alias("a"), F.max("o").alias("b")).where("a < b").select("w1", "w2", "a")
+    before = scratch.keep(before, "before")
     starts = windows.join(before, ["w1", "w2"]).where("o > a").groupBy("o", "t").agg(F.collect_set("start").alias("starts"))
     cut = whole.select("o", "t", "text").join(starts, ["o", "t"]).mapInArrow(_cut(min_words), "o long, t int, n_removed long, kept_text string")
     cut = scratch.keep(cut, "cut")
