@@ -126,7 +126,8 @@ def test_keep_one(spark):
     assert sorted((r.doc_id or -1, len(r.text)) for r in kept.collect()) == [(-1, 22), (4, len(t) + 5), (5, 20)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("broadcast_edges", [0, 1000])
+def test_components(spark, broadcast_edges):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100), (7, 200), (300, 301), (301, 300), (None, 5)]
-    got = dict(graph.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect())
+    got = dict(graph.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"), broadcast_edges=broadcast_edges).collect())
     assert got == {i: 0 for i in [*range(1, 41), 200]} | {301: 300}
