@@ -1,5 +1,7 @@
 """The registered queries and the pipeline on the smallest tables."""
 
+from collections import Counter
+
 import pytest
 
 import __spark_entry__ as entry
@@ -45,3 +47,11 @@ def test_pipeline(spark):
     times = sum(r.times for r in mixing.mix_report(clean).collect())
     assert out.count() == times == corpus_pipeline.mixing_stage(spark, clean, DIR).count()
     assert sorted(r.shard for r in out.collect()) == sorted(r.shard for r in sharding.shard_documents(corpus_pipeline.mixing_stage(spark, clean, DIR)).collect())
+
+
+def test_mixing_stage_weighs_by_labels(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    report = mixing.mix_report(docs, spark.read.parquet(f"{DIR}/labels.parquet")).collect()
+    assert {r.weight for r in report} == {1, 2}
+    got = Counter(r.doc_id for r in corpus_pipeline.mixing_stage(spark, docs, DIR).select("doc_id").collect())
+    assert got == +Counter({r.doc_id: r.times for r in report})

@@ -143,18 +143,23 @@ def mix_report(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 
 def mix(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """The mix itself: each row of docs as often as mix_report() takes it, columns unchanged. Without labels no text is
-    shuffled: the cuts, a row per source, meet the rows where they are."""
+    """The mix itself: each row of docs as often as mix_report() takes it, columns unchanged. The cuts, a row per source,
+    meet the rows where they are. Most documents are taken as often with a good label as without one; only the others,
+    about a quarter of a source at most, are shuffled to meet labels."""
     scratch = Scratch(docs.sparkSession, "mix")
-    if labels is None:
-        (w,) = fresh(docs, "weight")
-        weighed = docs.withColumn(w, text_weight(F.col("text")))
-    else:
-        weighed, w = label_weights(docs, labels)
-    k, o, s, c, n = fresh(weighed, "k", "o", "s", "c", "n")
+    k, g, o, s, c, n = fresh(docs, "k", "good_k", "o", "s", "c", "n")
     text, id_ = F.col("text"), F.col("doc_id")
-    own = {k: key(uniform(id_, text), F.col(w)), o: F.coalesce(id_.cast("long"), F.lit(NO_ID)), s: source_key(F.col("source").cast("string"))}
+    u, plain = uniform(id_, text), text_weight(text) if labels is None else F.lit(1)
+    own = {k: key(u, plain), g: key(u, F.lit(2)), o: F.coalesce(id_.cast("long"), F.lit(NO_ID)), s: source_key(F.col("source").cast("string"))}
     rows = scratch.keep(_narrow(docs, labels).select("source", "size", "s", "k", "o"), "rows")
     cut = cuts(rows, scratch).select(F.col("s").alias(s), F.col("cut").alias(c))
-    taken = weighed.withColumns(own).join(_small(cut), s).where(_times(k, o, c) > 0)
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), _times(k, o, c).cast("int"))).alias(n)).drop(n)
+    cut = _small(cut)
+    keyed = docs.withColumns(own).join(cut, s)
+    once, good = _times(k, o, c).cast("int"), _times(g, o, c).cast("int")
+    if labels is None:
+        taken = keyed.select(*docs.columns, once.alias(n))
+    else:
+        told = (once == good) | id_.isNull()
+        met, w = label_weights(keyed.where(~told).select(*docs.columns, once.alias(k), good.alias(g)), labels)
+        taken = keyed.where(told).select(*docs.columns, once.alias(n)).unionByName(met.select(*docs.columns, F.when(F.col(w) == 2, F.col(g)).otherwise(F.col(k)).alias(n)))
+    return taken.where(F.col(n) > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(n))).alias(k)).drop(k)
