@@ -13,6 +13,7 @@ the bucket. No link between components is lost, and links within a component are
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations, permutations
 
 import numpy as np
@@ -136,8 +137,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(classes, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id", "n_same")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each near-duplicate group, that with the smallest doc_id; columns unchanged.
+def keep_one(docs: DataFrame, found: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """docs with one document of each near-duplicate group that `found` tells, that with the smallest doc_id; columns
+    unchanged.
 
     Rows that repeat a kept doc_id and text collapse to one; a kept doc_id with several texts keeps them all.
     A document without doc_id comes after all others and stays if its group has no other; of several such,
@@ -146,5 +148,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kid, tid = fresh(docs, "kept_id", "text_id")
     own = F.lit(2**62) + F.xxhash64("text").bitwiseAND(F.lit(2**61 - 1))
     keyed = docs.withColumns({kid: F.coalesce(F.col("doc_id").cast("long"), own), tid: F.xxhash64("text")})
-    kept = near_duplicates(keyed, id_col=kid).where("doc_id = component_id").select(F.col("doc_id").alias(kid)).distinct()
+    kept = found(keyed, id_col=kid).where("doc_id = component_id").select(F.col("doc_id").alias(kid)).distinct()
     return keyed.join(kept, kid, "left_semi").dropDuplicates([kid, tid]).select(*docs.columns)
