@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veilwright.llm import decontam, langid, licenses, packing
 
@@ -41,6 +42,21 @@ def test_language_without_labels(spark):
     assert langid.keep_accepted(docs.limit(0), docs).collect() == []
 
 
+def test_long_texts_of_unlearned_scripts_are_rejected(spark):
+    rng = random.Random(11)
+    learned = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    cyrillic, chinese, base64 = (lambda n, a=a, b=b: "".join(chr(rng.randrange(a, b)) for _ in range(n)) for a, b in ((0x430, 0x450), (0x4E00, 0x9FA0), (0x41, 0x5B)))
+    rows = [" ".join(cyrillic(rng.randrange(2, 10)) for _ in range(n)) for n in (20, 100, 500, 5000)]
+    rows += [chinese(n) for n in (100, 500, 5000, 25_000)]
+    rows += ["".join(rng.choice((x, x.lower(), "7")) for x in base64(n)) for n in (400, 4000, 40_000)]
+    odd = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    train = learned.where(~langid.held_out())
+    got = {r.doc_id: r for r in langid.identify(odd, train).collect()}
+    assert [i for i in got if got[i].accepted] == [], [(i, r.score) for i, r in sorted(got.items())]
+    found = langid.identify(learned.where(langid.held_out() & F.col("text").rlike("[A-Za-z]")), train)
+    assert found.where("not accepted").count() == 0 and found.where("lang_pred = lang").count() > 0.97 * found.count()
+
+
 def test_counts_match_a_plain_version():
     at, n = langid.counts("Ab, c1d")
     assert n.sum() == 4 + 7 + 6  # ^ab^c^d^: letters, pairs, triples
