@@ -160,3 +160,15 @@ def test_diff_round_trip():
 
 def test_ratio(spark):
     assert math.isclose(one(spark, udfs.seq_ratio(F.lit("Relation"), F.lit("relations"))), SequenceMatcher(None, "relation", "relations").ratio())
+
+
+def test_long_texts_are_compared():
+    words = [f"w{i % 700}" if i % 3 else f"only{i}" for i in range(6000)]
+    other = list(words)
+    for i in range(50, 6000, 400):
+        other[i] = "thing"
+    got = udfs.diff(" ".join(words), " ".join(other), most=None)
+    assert not got["skipped"] and [m["original"] for m in got["masks"]] == [words[i] for i in range(50, 6000, 400)]
+    same = ["a", "b"] * 2000
+    assert [x[:2] for x in udfs.edits(same, [*same[:1000], "x", *same[1001:]], 2)] == [(1000, 1001)]
+    assert list(udfs.differing(words, other, plain=10)) == list(udfs.differing(words, other, plain=10**6))

@@ -5,6 +5,9 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -163,12 +166,53 @@ def parse_inference(answer: pd.Series) -> pd.Series:
     return answer.map(parse_answer)
 
 
+def _anchors(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of tokens that both have once, as many as rise in both."""
+    once_a, once_b = Counter(a), Counter(b)
+    place = {x: j for j, x in enumerate(b) if once_b[x] == 1}
+    found = [(i, place[x]) for i, x in enumerate(a) if once_a[x] == 1 and x in place]
+    ends, tails, before = [], [], []
+    for n, (_, j) in enumerate(found):
+        at = bisect_left(ends, j)
+        before.append(tails[at - 1] if at else -1)
+        ends[at : at + 1], tails[at : at + 1] = [j], [n]
+    out, n = [], tails[-1] if tails else -1
+    while n >= 0:
+        out.append(found[n])
+        n = before[n]
+    return out[::-1]
+
+
+def differing(a: list[str], b: list[str], plain: int = 1500) -> Iterator[tuple[int, int, int, int]]:
+    """Ranges of a and of b that differ, in order. The sequence matcher finds them; beyond `plain` tokens, whose time it
+    could square, common ends go first and the rest is split at tokens that both have once."""
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, i2, j, j2 = todo.pop()
+        if max(i2 - i, j2 - j) <= plain:
+            points = []
+        else:
+            while i < i2 and j < j2 and a[i] == b[j]:
+                i, j = i + 1, j + 1
+            while i < i2 and j < j2 and a[i2 - 1] == b[j2 - 1]:
+                i2, j2 = i2 - 1, j2 - 1
+            points = _anchors(a[i:i2], b[j:j2]) if max(i2 - i, j2 - j) > plain else []
+        if not points:
+            for tag, x, x2, y, y2 in SequenceMatcher(None, a[i:i2], b[j:j2], autojunk=False).get_opcodes():
+                if tag != "equal":
+                    yield i + x, i + x2, j + y, j + y2
+            continue
+        parts, at, bt = [], i, j
+        for x, y in points:
+            parts.append((at, i + x, bt, j + y))
+            at, bt = i + x + 1, j + y + 1
+        todo += [(x, x2, y, y2) for x, x2, y, y2 in [*parts, (at, i2, bt, j2)] if x < x2 or y < y2][::-1]
+
+
 def edits(a: list[str], b: list[str], gap: int) -> list[tuple[int, int, int, int]]:
     """Ranges of a and of b that differ, joined where no more than `gap` equal tokens stand between."""
     out: list[list[int]] = []
-    for tag, i1, i2, j1, j2 in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if tag == "equal":
-            continue
+    for i1, i2, j1, j2 in differing(a, b):
         if out and i1 - out[-1][1] <= gap:
             out[-1][1], out[-1][3] = i2, j2
         else:
@@ -176,12 +220,13 @@ def edits(a: list[str], b: list[str], gap: int) -> list[tuple[int, int, int, int
     return [tuple(x) for x in out]
 
 
-def diff(original: str | None, rewritten: str | None, gap: int = 2, most: int = 1500) -> dict:
+def diff(original: str | None, rewritten: str | None, gap: int = 2, most: int | None = 1500) -> dict:
     """Template and masks of what a rewrite changes: each changed stretch of the original becomes [MASK_i]. What the
-    rewrite only adds has no mask. Texts of more than `most` tokens are not compared and come back as skipped."""
+    rewrite only adds has no mask. Texts of more than `most` tokens (None: no text) are not compared and come back
+    as skipped."""
     original, rewritten = original or "", rewritten or ""
     a, b = list(NON_SPACE.finditer(original)), list(NON_SPACE.finditer(rewritten))
-    if max(len(a), len(b)) > most:
+    if most is not None and max(len(a), len(b)) > most:
         return {"template": original, "masks": [], "skipped": True}
     parts, masks, at = [], [], 0
     for i1, i2, j1, j2 in edits([m[0] for m in a], [m[0] for m in b], gap):
@@ -196,7 +241,7 @@ def diff(original: str | None, rewritten: str | None, gap: int = 2, most: int =
     return {"template": "".join(parts) + original[at:], "masks": masks, "skipped": False}
 
 
-def diff_to_masks(original: Column, rewritten: Column, gap: int = 2, most: int = 1500) -> Column:
+def diff_to_masks(original: Column, rewritten: Column, gap: int = 2, most: int | None = 1500) -> Column:
     """diff() of two columns, a struct of template, masks (in order) and skipped."""
 
     @F.pandas_udf(MASKS)

@@ -12,7 +12,7 @@ from veilwright.functions.udfs import diff_to_masks
 MASK_LIST = "array<struct<key:string,original:string,seed:string>>"
 
 
-def mask_changes(df: DataFrame, original: str, rewritten: str, gap: int = 2, most_tokens: int = 1500) -> DataFrame:
+def mask_changes(df: DataFrame, original: str, rewritten: str, gap: int = 2, most_tokens: int | None = 1500) -> DataFrame:
     """df with template, masks and skipped: what the rewrite changes is masked."""
     out = df.withColumn("_m", diff_to_masks(F.col(original), F.col(rewritten), gap, most_tokens))
     return out.select(*df.columns, "_m.template", "_m.masks", "_m.skipped")
@@ -36,9 +36,9 @@ def mask_spans(text: Column, spans: Column) -> Column:
     return F.aggregate(ordered, start, step)
 
 
-def masked(df: DataFrame, original: str, rewritten: str, spans: str) -> DataFrame:
+def masked(df: DataFrame, original: str, rewritten: str, spans: str, gap: int = 2, most_tokens: int | None = None) -> DataFrame:
     """df with template, masks and was_masked: what the rewrite changes; the spans instead where it changes nothing."""
-    out = mask_changes(df, original, rewritten).withColumn("_by_span", mask_spans(F.col(original), F.coalesce(F.col(spans), dims.text_array(()))))
+    out = mask_changes(df, original, rewritten, gap, most_tokens).withColumn("_by_span", mask_spans(F.col(original), F.coalesce(F.col(spans), dims.text_array(()))))
     none = F.size("masks") == 0
     plain = F.transform("masks", lambda m: F.struct(m["key"].alias("key"), m["original"].alias("original"), m["seed"].alias("seed")))
     template = F.when(none, F.col("_by_span.template")).otherwise(F.col("template"))

@@ -37,7 +37,7 @@ class Options:
     too_specific_cap: int = dims.TOO_SPECIFIC_MOST
     certainty: int = dims.CERTAINTY_LEAST
     gap_words: int = 2
-    most_tokens: int = 1500
+    most_tokens: int | None = None
     scope: Scope = Scope.ADAPTIVE
     max_new: int = 12
     max_total: int = 12
@@ -132,7 +132,7 @@ def anonymize(docs: DataFrame, backend: Backend, o: Options = Options(), respons
     init = cut(initialized(docs, backend, o, responses))
     conv = converged(init.where("status = 'initialized'").select("document_id", "text"), backend, o, responses, cut)
     with_spans = conv.join(init.select("document_id", "evidence_spans"), "document_id")
-    masked = cut(masking.masked(with_spans, "text", "rewritten", "evidence_spans"))
+    masked = cut(masking.masked(with_spans, "text", "rewritten", "evidence_spans", o.gap_words, o.most_tokens))
     scored = cut(evaluated(refilled(masked, backend, o, responses), init, backend, o, responses))
     best = selection.best_variation(scored, ["document_id"], o.too_specific_cap)
     chosen = best.join(scored.withColumnRenamed("idx", "best_idx"), ["document_id", "best_idx"], "left")
