@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from veilwright import queries
@@ -40,3 +41,10 @@ def test_rows(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_profile_recoverability_takes_every_document(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").where("trim(text) <> ''")
+    want = {r.lang: r.n for r in docs.groupBy("lang").agg(F.countDistinct("doc_id").alias("n")).collect()}
+    got = {r.config: r.sample_count for r in entry.queries()["profile_recoverability"](spark, DIR).collect()}
+    assert got == want

@@ -657,8 +657,8 @@ def anonymize_rules(spark, d):
 
 @query()
 def profile_recoverability(spark, d):
-    texts = table(spark, d, "documents").select(F.col("lang").alias("config"), F.col("source").alias("transcript_id"), "doc_id", "text")
-    texts = texts.groupBy("config", "transcript_id").agg(F.min_by("text", "doc_id").alias("text"))
-    f = texts.where("config = 'en'").select("transcript_id", F.explode(F.arrays_zip(F.array(*[F.lit(k) for k in KEYS]).alias("k"))).alias("x"), "text")
-    f = f.select("transcript_id", F.concat(F.col("x.k"), F.lit("_01")).alias("fact_id"), F.col("x.k").alias("attribute_key"), F.substring("text", 1, 24).alias("fact"))
-    return workflows.profile_recoverability(f, texts, models.RuleBackend())["by_config"]
+    docs = table(spark, d, "documents").where("doc_id is not null and text is not null").select(F.col("lang").alias("config"), F.col("doc_id").cast("string").alias("transcript_id"), "text")
+    lines = docs.select("transcript_id", F.posexplode(F.split("text", "\n")).alias("line", "fact")).where("trim(fact) <> ''")
+    key = F.element_at(F.array(*[F.lit(k) for k in KEYS]), (F.col("line") % len(KEYS) + 1).cast("int"))
+    f = lines.select("transcript_id", F.concat(key, F.lit("_"), F.col("line")).alias("fact_id"), key.alias("attribute_key"), "fact")
+    return workflows.profile_recoverability(f, docs, models.RuleBackend())["by_config"]
