@@ -36,14 +36,21 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60, broadca
     plain exchanges can split the edges of a node that has very many. Each round is a table in the shared folder.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e, before = scratch.keep(e, "edges"), None
+    e, before, used = scratch.keep(e, "edges"), None, []
+
+    def table(t: DataFrame, name: str) -> DataFrame:
+        used.append(scratch.keep(t, name))
+        return used[-1]
+
     for _ in range(max_rounds):
         now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
         if now == before or not now[0]:
             return e.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        small, before, last = now[0] <= broadcast_edges, now, e
-        ready = F.broadcast if small else lambda least: scratch.keep(least, "least")
+        small, before = now[0] <= broadcast_edges, now
+        used.append(e)
+        ready = F.broadcast if small else lambda least: table(least, "least")
         e = _large_star(e, ready)
-        e = scratch.keep(_small_star(e if small else scratch.keep(e, "star"), ready), "edges")
-        scratch.drop(last)
+        e = scratch.keep(_small_star(e if small else table(e, "star"), ready), "edges")
+        while used:
+            scratch.drop(used.pop())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -2,9 +2,10 @@
 
 A fingerprint of 64 bits is cut into segments of 22, 21 and 21 bits. Of two fingerprints that differ in four
 bits or fewer, by pigeonhole either one segment agrees and another differs in two bits at most, or two
-segments differ in one bit each. Each segment is decoded to the Golay codewords near it; in the first case
-the agreeing segment with a shared nearby codeword is a common key, in the second a pair of codewords is.
-Candidates that share a key are verified on all 64 bits, so the links are exact.
+segments differ in one bit each and the third in two at most. Each segment is decoded to the Golay codewords
+near it; in the first case the agreeing segment with a shared nearby codeword is a common key (33 or 34 bits), in
+the second a codeword of each segment is (36 bits). Candidates that share a key are verified on all 64 bits, so the
+links are exact.
 
 A bucket's members are first tied to its smallest member and to their predecessor, which joins the large
 groups without listing their pairs; then only members outside a bucket's largest component are compared with
@@ -32,25 +33,37 @@ MAX_DISTANCE = 4
 NO_ID = 2**63 - 1  # stands for a null doc_id: one that comes after all others
 
 
-def fingerprint(text: bytes | None, width: int = 4) -> int:
-    """Unsigned 64 bits. Lower-cases A-Z only; a word is a run of bytes without ASCII white space."""
+def joined_words(text: bytes | None) -> bytes:
+    """The words, lower-cased (A-Z only) and joined by blanks. A word is a run of bytes without ASCII white space."""
+    return b" ".join(text.lower().split()) if text else b""
+
+
+def shingle_hashes(text: bytes | None, width: int) -> tuple[bytes, np.ndarray]:
+    """joined_words() and the XXH64 of each run of `width` words, repeats included. Fewer words are one shingle, no
+    words are none."""
     words = text.lower().split() if text else []
-    if not words:
-        return 0
     joined = b" ".join(words)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return joined, np.array([xxhash.xxh64_intdigest(joined, SEED)][: len(words)], np.uint64)
     lens = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lens + 1) - 1
     spans = zip((ends - lens)[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
-    h, x = xxhash.xxh64_intdigest, len(words) - width + 1
-    hashes = np.fromiter((h(joined[a:b], SEED) for a, b in spans), np.uint64, x)
+    h, n = xxhash.xxh64_intdigest, len(words) - width + 1
+    return joined, np.fromiter((h(joined[a:b], SEED) for a, b in spans), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned 64 bits: those that are set in over half of the hashes. No hashes: zero."""
     counts = np.zeros(64, dtype=np.int64)
-    for i in range(0, x, 65536):
+    for i in range(0, len(hashes), 65536):
         part = hashes[i : i + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(counts * 2 > x, bitorder="little")
-    return int(bits.view("<u8")[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes | None, width: int = 4) -> int:
+    """The fingerprint of a whole text, unsigned."""
+    return majority(shingle_hashes(text, width)[1])
 
 
 def _fingerprints(batches):
@@ -61,13 +74,16 @@ def _fingerprints(batches):
 
 
 def keys(fp: np.ndarray) -> np.ndarray:
-    """(n, 69) keys of signed 64-bit fingerprints: 36 of an agreeing segment and a codeword, 33 of two codewords."""
+    """(n, 234) keys of signed 64-bit fingerprints: 36 of an agreeing segment and a codeword, 66 of three codewords
+    for each segment that may be the one that differs in two bits. About 190 of a row are different."""
     v = fp.view(np.uint64)
     seg = [((v >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
     near = [golay.near_codewords(s) for s in seg]
     out = [(t << 40) | (seg[a][:, None] << 12) | near[b] for t, (a, b) in enumerate(permutations(range(3), 2))]
-    for t, (a, b) in enumerate(combinations(range(3), 2), 6):
-        out += [(t << 40) | (near[a] << 12) | near[b][:, :1], (t << 40) | (near[a][:, :1] << 12) | near[b][:, 1:]]
+    at = [x << (12 * i) for i, x in enumerate(near)]
+    for a, b in combinations(range(3), 2):
+        close = np.concatenate([at[a] | at[b][:, :1], at[a][:, :1] | at[b][:, 1:]], axis=1)
+        out.append(((6 << 40) | close[:, :, None] | at[3 - a - b][:, None, :]).reshape(len(v), -1))
     return np.concatenate(out, axis=1)
 
 
@@ -86,20 +102,30 @@ def _near(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_DISTANCE
 
 
-def fingerprint_labels(fps: DataFrame, scratch: Scratch) -> DataFrame:
-    """(fp, label) of each distinct fingerprint of fps (fp long) that isn't its component's label; the label is
-    one fingerprint of the component."""
+def buckets(fps: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, fp, lo, prev) of the keys that several of the distinct fingerprints of fps (fp long) have."""
     by_key = Window.partitionBy("key")
-    buckets = (
+    met = (
         fps.mapInArrow(_keyed, "key long, fp long")
         .select("key", "fp", F.count(F.lit(1)).over(by_key).alias("n"), F.min("fp").over(by_key).alias("lo"), F.lag("fp").over(by_key.orderBy("fp")).alias("prev"))
         .where("n > 1")
     )
-    buckets = scratch.keep(buckets, "buckets")
-    first = buckets.where(_near("fp", "lo") & (F.col("fp") != F.col("lo"))).select(F.col("fp").alias("a"), F.col("lo").alias("b"))
-    second = buckets.where(_near("fp", "prev")).select(F.col("fp").alias("a"), F.col("prev").alias("b"))
-    ties = scratch.keep(components(first.unionByName(second), scratch), "ties")
-    at = buckets.select("key", "fp").join(ties.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    return scratch.keep(met.drop("n"), "buckets")
+
+
+def close(met: DataFrame) -> DataFrame:
+    """(a, b): fingerprints of buckets() with the bucket's smallest one, and with the one before, that are near."""
+    first = met.where(_near("fp", "lo") & (F.col("fp") != F.col("lo"))).select(F.col("fp").alias("a"), F.col("lo").alias("b"))
+    return first.unionByName(met.where(_near("fp", "prev")).select(F.col("fp").alias("a"), F.col("prev").alias("b")))
+
+
+def fingerprint_labels(fps: DataFrame, scratch: Scratch) -> DataFrame:
+    """(fp, label) of each distinct fingerprint of fps (fp long) that isn't its component's label; the label is
+    one fingerprint of the component."""
+    by_key = Window.partitionBy("key")
+    met = buckets(fps, scratch)
+    ties = scratch.keep(components(close(met), scratch), "ties")
+    at = met.select("key", "fp").join(ties.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     mixed = at.withColumns({"l0": F.min("label").over(by_key), "l1": F.max("label").over(by_key)}).where("l0 <> l1")
     mixed = mixed.select("key", "fp", "label", F.count(F.lit(1)).over(Window.partitionBy("key", "label")).alias("c"))
     mixed = scratch.keep(mixed.select("key", "fp", "label", F.max(F.struct("c", "label")).over(by_key)["label"].alias("major")), "mixed")
@@ -109,7 +135,7 @@ def fingerprint_labels(fps: DataFrame, scratch: Scratch) -> DataFrame:
     top = over.select(F.col("node").alias("label"), F.col("label").alias("top"))
     moved = ties.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
     out = scratch.keep(moved.unionByName(over), "labels")
-    for x in (buckets, mixed, ties):
+    for x in (met, mixed, ties):
         scratch.drop(x)
     return out.withColumnRenamed("node", "fp")
 
