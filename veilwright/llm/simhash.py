@@ -20,12 +20,12 @@ from itertools import combinations, permutations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwright.llm import golay
 from veilwright.llm.graph import components
-from veilwright.llm.runtime import Scratch, fresh, ship
+from veilwright.llm.runtime import Scratch, bitmap, fresh, in_bitmap, ship
 
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -163,6 +163,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(classes, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id", "n_same")
 
 
+def _id_slot(kid: Column) -> Column:
+    return F.xxhash64(F.lit("kept"), kid)
+
+
 def keep_one(docs: DataFrame, found: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
     """docs with one document of each near-duplicate group that `found` tells, that with the smallest doc_id; columns
     unchanged.
@@ -170,9 +174,18 @@ def keep_one(docs: DataFrame, found: Callable[..., DataFrame] = near_duplicates)
     Rows that repeat a kept doc_id and text collapse to one; a kept doc_id with several texts keeps them all.
     A document without doc_id comes after all others and stays if its group has no other; of several such,
     one stays.
+
+    What goes and what repeats is found on ids alone. A bitmap of fixed size tells which rows may be among those; only
+    they are shuffled to be told for certain, the others stay where they are.
     """
+    ship(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "keep")
     kid, tid = fresh(docs, "kept_id", "text_id")
     own = F.lit(2**62) + F.xxhash64("text").bitwiseAND(F.lit(2**61 - 1))
     keyed = docs.withColumns({kid: F.coalesce(F.col("doc_id").cast("long"), own), tid: F.xxhash64("text")})
-    kept = found(keyed, id_col=kid).where("doc_id = component_id").select(F.col("doc_id").alias(kid)).distinct()
-    return keyed.join(kept, kid, "left_semi").dropDuplicates([kid, tid]).select(*docs.columns)
+    told = scratch.keep(found(keyed, id_col=kid).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept")), "told")
+    again = keyed.groupBy(kid, tid).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(kid).alias("doc_id"))
+    bits = bitmap(told.where("not kept").select("doc_id").unionByName(again).select(_id_slot(F.col("doc_id")).alias("x")))
+    may = in_bitmap(bits, _id_slot(F.col(kid)))
+    moved = keyed.where(may).join(told.where("kept").select(F.col("doc_id").alias(kid)), kid, "left_semi").dropDuplicates([kid, tid])
+    return keyed.where(~may).select(*docs.columns).unionByName(moved.select(*docs.columns))
