@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwright.llm.runtime import fresh, ship
@@ -29,14 +29,12 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class Params:
-    """per_language: labelled texts expected in the sample of a language, which bounds what the driver gathers
-    (no language gives more than twice that); max_languages: the most frequent labels that are learned;
-    reject_distance: cosine distances above it are rejected, whatever the length; part, quantile, least: a text is also
+    """per_language: labelled texts expected in the sample of a language, which bounds what the driver gathers (no
+    language gives more than twice that, and every language that has a label is learned); reject_distance: cosine distances above it are rejected, whatever the length; part, quantile, least: a text is also
     rejected if its cosine is below `part` of this quantile of held-out texts of about its length (a quarter to four
     times), where there are `least` of them."""
 
     per_language: int = 300
-    max_languages: int = 200
     centroids: int = 4
     rounds: int = 12
     reject_distance: float = 0.95
@@ -117,15 +115,18 @@ def _clusters(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
 
 def fit(docs: DataFrame, params: Params = Params(), text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """Learn from the rows of docs with a label and letters. The sample is drawn by a hash of the id against
-    per_language over the label's count, so it is the same in every run and no label is gathered in one task."""
+    per_language over the label's count, so it is the same in every run and no label is gathered in one task; an id that
+    repeats very often can't crowd out others, as each label gives 2 * per_language rows at most."""
     ship(docs.sparkSession)
     labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id")).where("lang is not null and id is not null")
-    n = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(params.max_languages).collect()
+    n = labelled.groupBy("lang").count().collect()
     if not n:
         return _learned([], params)
     share = F.create_map(*[x for r in n for x in (F.lit(r["lang"]), F.lit(params.per_language / r["count"]))])
     drawn = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 40)) < share[F.col("lang")] * (1 << 40)
-    rows = labelled.where(drawn).select("lang", "text").mapInArrow(_sampled, "lang string, at binary, n binary").where("length(at) > 0").limit(2 * params.per_language * len(n)).collect()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id", "text")))
+    few = labelled.where(drawn).withColumn("place", place).where(F.col("place") <= 2 * params.per_language)
+    rows = few.select("lang", "text").mapInArrow(_sampled, "lang string, at binary, n binary").where("length(at) > 0").collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"])))
     drawn = [(r["lang"], np.frombuffer(r["at"], "<u4").astype(np.int64), np.frombuffer(r["n"], "<u4")) for r in rows]
     first, second = _learned(drawn[::2], params), _learned(drawn[1::2], params)
@@ -215,7 +216,9 @@ def identify(docs: DataFrame, train: DataFrame, params: Params = Params()) -> Da
 
 
 def keep_accepted(docs: DataFrame, train: DataFrame, params: Params = Params()) -> DataFrame:
-    """The rows of docs that identify() accepts, columns unchanged."""
+    """The rows of docs that identify() accepts, columns unchanged. Null texts, empty ones and those without letters go,
+    as do all if train has no label; repeated rows and rows without doc_id are told one by one by their text; an empty
+    table gives an empty one. Columns named like identify()'s are kept as they are."""
     ship(docs.sparkSession)
     return docs.where(language(fit(train, params), F.col("text"), params)["accepted"])
 
