@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilwright.llm.runtime import fresh
+from veilwright.llm.runtime import Scratch, fresh
 
 SLOTS = 4096
 SHARDS = 16
@@ -125,29 +125,64 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> tupl
 
 
 def assign(docs: DataFrame, shard_of: Sequence[int]) -> DataFrame:
-    """docs with virtual_slot and shard (in place of columns of these names). No row moves between tasks."""
+    """docs with virtual_slot and shard (in place of columns of these names). No row moves between tasks. Null ids and
+    texts hash like values, repeated rows get one shard, and an empty table gives an empty one."""
     kept = [c for c in docs.columns if c.lower() not in ("virtual_slot", "shard")]
     (v,) = fresh(docs, "virtual")
     with_slot = docs.withColumn(v, virtual_slot(F.col("doc_id"), F.col("text"), len(shard_of)))
     return with_slot.select(*kept, F.col(v).alias("virtual_slot"), table_of(shard_of, F.col(v)).cast("int").alias("shard"))
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """assign() by a map that makes the shards' bytes near equal. Null texts count one byte; equal rows share a
-    slot; an empty table gives none."""
-    return assign(docs, balanced(gathered(slot_sizes(docs, slots), slots)[0], shards))
+def has_map(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def shard_report(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+def current_map(spark: SparkSession, path: str, sizes: Sequence[int], shards: int, tolerance: float = 0.02) -> tuple[int, list[int]]:
+    """The version of the map at path that holds for these sizes and shards, and its shards by slot.
+
+    Where there is none, one with near equal bytes becomes version 1. Else the last version is read; if its shards are
+    other than these or too uneven, it is edited (only the slots that have to move get another shard) and stored as the
+    next version. The versions before it stay.
+    """
+    if not has_map(spark, path):
+        store_map(spark, path, balanced(sizes, shards), 1)
+        return load_map(spark, path)
+    version, old = load_map(spark, path)
+    new = grown(sizes, old, shards) if shards > max(old) + 1 else old
+    new = rebalanced(sizes, new, shards, tolerance)
+    if new != old:
+        store_map(spark, path, new, version + 1)
+        return load_map(spark, path)
+    return version, old
+
+
+def _map_path(docs: DataFrame, path: str | None) -> str:
+    return path or f"{Scratch(docs.sparkSession, 'shards').root}/map"
+
+
+def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str | None = None) -> DataFrame:
+    """assign() by the map at path (see current_map()), which makes the shards' bytes near equal; without a path the map
+    is a new one in the shared folder.
+
+    A null text counts one byte, a very long one as many as it has; equal rows share a slot, equal texts of different
+    doc_ids don't; a null doc_id is a value like others; an empty table gives none.
+    """
+    _, shard_of = current_map(docs.sparkSession, _map_path(docs, path), gathered(slot_sizes(docs, slots), slots)[0], shards)
+    return assign(docs, shard_of)
+
+
+def shard_report(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, size, text_crc32, law `bytes`, shard, slot (the row's place in its
-    shard, gapless from 0: by virtual slot, then doc_id), grown_shard (null under this law), virtual_slot.
+    shard, gapless from 0: by virtual slot, then doc_id), grown_shard (null under this law), virtual_slot, map_version.
 
-    A place is the count of rows in the shard's slots before (a table as long as there are slots) and the
-    number within the slot, so no task sorts more than a slot. A null text has size 1 and crc 0, a null doc_id
-    comes first within its slot, repeated rows get places of their own, and an empty table gives none.
+    The map is that of shard_documents(). A place is the count of rows in the shard's slots before (a table as long as
+    there are slots) and the number within the slot, so no task sorts more than a slot. A null text has size 1 and crc
+    0, a null doc_id comes first within its slot, repeated rows get places of their own, and an empty table gives none.
+    Groups of equal texts are not kept in one shard: a group may hold a third of all bytes, and `bytes` would not hold.
     """
     size, rows = gathered(slot_sizes(docs, slots), slots)
-    shard_of = balanced(size, shards)
+    version, shard_of = current_map(docs.sparkSession, _map_path(docs, path), size, shards)
     before, at = [0] * slots, [0] * shards
     for i, s in enumerate(shard_of):
         before[i], at[s] = at[s], at[s] + rows[i]
@@ -165,4 +200,5 @@ def shard_report(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> D
         (table_of(before, F.col("virtual_slot")) + number - 1).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",
+        F.lit(version).alias("map_version"),
     )
