@@ -131,8 +131,8 @@ def plain_tiles(a, b, least):
 
 def test_tiles_cover_what_greedy_tiling_covers():
     rng = random.Random(4)
-    for k in range(150):
-        item = [rng.randrange(30 if k % 2 else 6) for _ in range(40)]
+    for k in range(600):
+        item = [rng.randrange((3, 30, 6, 12)[k % 4]) for _ in range(40)]
         parts = [item[i : i + 8] for i in range(0, 40, 8)]
         rng.shuffle(parts)
         text = [x for p in parts for x in [*p, 99 - k % 3]]
@@ -141,8 +141,7 @@ def test_tiles_cover_what_greedy_tiling_covers():
             assert text[t : t + n] == item[p : p + n] and n >= 4
         used = [p + i for _, p, n in got for i in range(n)]
         assert len(used) == len(set(used))
-        if k % 2:
-            assert sum(n for *_, n in got) == sum(n for *_, n in want)
+        assert sorted(got) == sorted(want)
 
 
 def test_decontamination(spark):
@@ -158,11 +157,12 @@ def test_decontamination(spark):
     ]
     docs = table(spark, rows)
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.item_id) for r in decontam.contaminated(docs, bench).collect())
-    assert got == [(-1, 4), (1, 0), (2, 3), (7, 1), (7, 2), (8, 5)]
+    # item 51 has fewer words than a seed: it is found where it is the whole text
+    assert got == [(-1, 4), (1, 0), (2, 3), (6, 51), (7, 1), (7, 2), (8, 5)]
     small = decontam.Params(block_chars=200)
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.item_id) for r in decontam.contaminated(docs, bench, small).collect()) == got
     kept = decontam.keep_clean(docs, bench)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 3, 4, 5, 6]
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 3, 4, 5]
     assert decontam.contaminated(docs, bench.limit(0)).collect() == [] and decontam.keep_clean(docs, bench.limit(0)).count() == len(rows)
     assert decontam.contaminated(docs.limit(0), bench).collect() == []
 

@@ -31,14 +31,14 @@ FOUND = "array<struct<item_id:bigint,coverage:double,n_tiles:int,longest:int,til
 
 @dataclass(frozen=True)
 class Params:
-    """min_match: words of the shortest tile (items with fewer words are not looked for); first_search: the length
+    """min_match: words of the shortest tile (an item with fewer words is found where it is the whole text); first_search: the length
     that tiling begins with; min_coverage: share of an item's words under tiles from which it counts as found;
     block_chars: of benchmark text that is sent to executors at a time."""
 
     min_match: int = 5
     first_search: int = 20
     min_coverage: float = 0.5
-    block_chars: int = 16_000_000
+    block_chars: int = 4_000_000
 
 
 def words(text: str | None) -> list[str]:
@@ -88,8 +88,9 @@ def tiles(text: list[int], item: list[int], min_match: int, first_search: int) -
         if longest > 2 * s:
             s = longest
             continue
-        for n in sorted(found, reverse=True):
-            for p, t in found[n]:
+        for n in range(longest, s - 1, -1):
+            # what an earlier tile has cut short waits in the list of the length that is left of it
+            for p, t in sorted(found.pop(n, ()), key=lambda x: x[::-1]):
                 free = 0
                 while free < n and not im[p + free] and not tm[t + free]:
                     free += 1
@@ -97,9 +98,7 @@ def tiles(text: list[int], item: list[int], min_match: int, first_search: int) -
                     im[p : p + n] = tm[t : t + n] = True
                     out.append((t, p, n))
                 elif free >= s:
-                    found_late = min(free, n)
-                    im[p : p + found_late] = tm[t : t + found_late] = True
-                    out.append((t, p, found_late))
+                    found[free].append((p, t))
         if s <= min_match:
             return out
         s = max(min_match, s // 2) if s > 2 * min_match else min_match
@@ -113,6 +112,7 @@ class Block:
     items: list[list[int]]
     number: dict[str, int] = field(default_factory=dict)
     seeds: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
+    short: dict[tuple[str, ...], list[int]] = field(default_factory=dict)  # ids of items of fewer words than a seed
     sorted_seeds: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
 
     @classmethod
@@ -123,6 +123,8 @@ class Block:
             if len(w) >= params.min_match:
                 out.ids.append(item_id)
                 out.items.append([out.number.setdefault(x, len(out.number) + 1) for x in w])
+            elif w:
+                out.short.setdefault(tuple(w), []).append(item_id)
         seeds = defaultdict(list)
         for k, item in enumerate(out.items):
             for j, h in enumerate(_seed_hashes(np.array(item, dtype=np.uint64), params.min_match).tolist()):
@@ -142,7 +144,9 @@ def _seed_hashes(ids: np.ndarray, n: int) -> np.ndarray:
 def search(text: str | None, block: Block, params: Params) -> list[tuple[int, float, int, int, list[tuple[int, int, int]]]]:
     """The items of block that the whole text holds; the result's fields are those of FOUND."""
     w, n = words(text), params.min_match
-    if len(w) < n or not len(block.sorted_seeds):
+    if len(w) < n:
+        return [(i, 1.0, 1, len(w), [(0, 0, len(w))]) for i in sorted(block.short.get(tuple(w), ()))]
+    if not len(block.sorted_seeds):
         return []
     ids = np.fromiter(map(block.number.get, w, (0,) * len(w)), dtype=np.uint64, count=len(w))
     gaps = np.concatenate([[0], np.cumsum(ids == 0)])
@@ -221,7 +225,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: Params = Params(
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, params: Params = Params()) -> DataFrame:
-    """The rows of docs that hold no benchmark item, columns unchanged."""
+    """The rows of docs that hold no benchmark item, columns unchanged. Null and empty texts hold none and stay, repeated
+    rows and rows without doc_id are told one by one, and an empty benchmark keeps all rows of docs."""
     ship(docs.sparkSession)
     for block in blocks(benchmark, params):
         (x,) = fresh(docs, "n_items")
