@@ -29,6 +29,13 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def _flags(dropped: Column) -> Column:
+    """Up to the last of some positions (in rising order), whether each place is one of them. As long as the text has
+    lines, whatever their number: it meets the lines one by one, so nothing is looked up in a list."""
+    gap = lambda x, i: x - F.coalesce(F.get(dropped, i - 1), F.lit(-1)) - 1
+    return F.flatten(F.transform(dropped, lambda x, i: F.concat(F.array_repeat(F.lit(False), gap(x, i)), F.array(F.lit(True)))))
+
+
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """docs with n_lines, n_dropped and kept_text (in place of columns of these names).
 
@@ -47,15 +54,14 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2)
     repeated = lines.groupBy("h1", "h2").agg(F.count_distinct("o").alias("n"), F.min("o").alias("first")).where(F.col("n") >= min_docs)
     # a table of its own: only a join of two plain exchanges can split the rows of a very common line
     repeated = scratch.keep(repeated, "repeated")
-    gone = lines.join(repeated, ["h1", "h2"]).where("o <> first").groupBy("o", "t").agg(F.collect_set("pos").alias(d))
+    gone = lines.join(repeated, ["h1", "h2"]).where("o <> first").groupBy("o", "t").agg(F.array_sort(F.collect_set("pos")).alias(d))
     gone = gone.select(F.col("o").alias(o), F.col("t").alias(t), d)
     text, own = F.col("text"), {"n_lines", "n_dropped", "kept_text"}
-    kept = F.array_except(F.sequence(F.lit(0), F.size(_lines(text)) - 1), F.col(d))
     joined = keyed.join(gone, [o, t], "left").select(
         *[c for c in docs.columns if c.lower() not in own],
         F.size(_lines(text)).cast("long").alias("n_lines"),
         F.coalesce(F.size(d), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col(d).isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get(_lines(text), i)), "\n")).alias("kept_text"),
+        F.when(F.col(d).isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(F.zip_with(_lines(text), _flags(F.col(d)), lambda line, gone_: F.when(~F.coalesce(gone_, F.lit(False)), line)), "\n")).alias("kept_text"),
     )
     return joined
 
