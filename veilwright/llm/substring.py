@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwright.llm.runtime import Scratch, ship
@@ -61,6 +61,15 @@ def word_hashes(data: bytes) -> np.ndarray:
     return _mix((sums[z] - sums[a]) * back[a] + (z - a).astype(np.uint64))
 
 
+def row_key(text: Column) -> Column:
+    """128 bits that tell rows with one doc_id (all null ones are one) apart by their text."""
+    return F.unhex(F.md5(F.coalesce(text.cast("binary"), F.lit(b""))))
+
+
+def _same_row(o: int, t: bytes, n: int) -> list[pa.Array]:
+    return [pa.array(np.full(n, o)), pa.repeat(pa.scalar(t, pa.binary()), n)]
+
+
 class Windows:
     """Hashes of all windows of a document."""
 
@@ -120,7 +129,7 @@ def _second_level(min_words: int):
                 for i in range(0, len(starts), 1 << 16):
                     s = starts[i : i + (1 << 16)]
                     one, two = w.hashes(s, min_words)
-                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(np.full(len(s), o)), pa.array(np.full(len(s), t, dtype=np.int32)), pa.array(s.astype(np.int32))], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), *_same_row(o, t, len(s)), pa.array(s.astype(np.int32))], names=names)
 
     return run
 
@@ -133,7 +142,7 @@ def _all_windows(length: int):
                 for i in range(0, w.n - length + 1, 1 << 16):
                     s = np.arange(i, min(i + (1 << 16), w.n - length + 1))
                     one, two = w.hashes(s, length)
-                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(np.full(len(s), o)), pa.array(np.full(len(s), t, dtype=np.int32)), pa.array(s.astype(np.int32))], names=["w1", "w2", "o", "t", "start"])
+                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), *_same_row(o, t, len(s)), pa.array(s.astype(np.int32))], names=["w1", "w2", "o", "t", "start"])
 
     return run
 
@@ -169,8 +178,8 @@ def repeat_lengths(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """
     ship(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "lengths")
-    o, t = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("o"), F.hash("text").alias("t")
-    long = docs.where("text is not null").select(o, t, F.col("text").cast("string").alias("text")).mapInArrow(_all_windows(min_words), "w1 long, w2 long, o long, t int, start int")
+    o, t = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("o"), row_key(F.col("text")).alias("t")
+    long = docs.where("text is not null").select(o, t, F.col("text").cast("string").alias("text")).mapInArrow(_all_windows(min_words), "w1 long, w2 long, o long, t binary, start int")
     found, length, now = None, min_words, scratch.keep(long, "all")
     while True:
         shared = scratch.keep(now.groupBy("w1", "w2").agg(F.min("o").alias("a"), F.max("o").alias("b")).where("a < b").select("w1", "w2"), "shared")
@@ -193,9 +202,9 @@ def repeat_lengths(docs: DataFrame, min_words: int = 50) -> DataFrame:
 def _levels(docs: DataFrame, min_words: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """base: a row of doc_id, o, t, n, sha, first for each row of docs, where first is the smallest o with the same
     words; cut: o, t, n_removed, kept_text of those first documents that lose words."""
-    o, t = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("o"), F.hash("text").alias("t")
+    o, t = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("o"), row_key(F.col("text")).alias("t")
     text = F.col("text").cast("string").alias("text")
-    level = docs.select(F.col("doc_id").cast("long").alias("doc_id"), o, t, text).mapInArrow(_first_level(min_words), "doc_id long, o long, t int, n long, sha string, at array<int>, h array<long>")
+    level = docs.select(F.col("doc_id").cast("long").alias("doc_id"), o, t, text).mapInArrow(_first_level(min_words), "doc_id long, o long, t binary, n long, sha string, at array<int>, h array<long>")
     level = scratch.keep(level, "half")
     same = level.where(F.col("n") >= min_words).groupBy("sha").agg(F.min("o").alias("first"), F.max("o").alias("last")).where("first < last").select("sha", "first")
     # this and two more below are tables of their own: only a join of two plain exchanges can split the rows of a very
@@ -209,11 +218,11 @@ def _levels(docs: DataFrame, min_words: int, scratch: Scratch) -> tuple[DataFram
     some = halves.join(shared, "h", "left_semi").groupBy("o", "t").agg(F.collect_set("at").alias("at"))
     whole = docs.select(o, t, text).join(some, ["o", "t"]).select("o", "t", "text", "at")
     whole = scratch.keep(whole, "whole")
-    windows = scratch.keep(whole.mapInArrow(_second_level(min_words), "w1 long, w2 long, o long, t int, start int"), "windows")
+    windows = scratch.keep(whole.mapInArrow(_second_level(min_words), "w1 long, w2 long, o long, t binary, start int"), "windows")
     before = windows.groupBy("w1", "w2").agg(F.min("o").alias("a"), F.max("o").alias("b")).where("a < b").select("w1", "w2", "a")
     before = scratch.keep(before, "before")
     starts = windows.join(before, ["w1", "w2"]).where("o > a").groupBy("o", "t").agg(F.collect_set("start").alias("starts"))
-    cut = whole.select("o", "t", "text").join(starts, ["o", "t"]).mapInArrow(_cut(min_words), "o long, t int, n_removed long, kept_text string")
+    cut = whole.select("o", "t", "text").join(starts, ["o", "t"]).mapInArrow(_cut(min_words), "o long, t binary, n_removed long, kept_text string")
     cut = scratch.keep(cut, "cut")
     for x in (halves, windows, whole):
         scratch.drop(x)
@@ -246,6 +255,6 @@ def drop_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     ship(docs.sparkSession)
     base, cut = _levels(docs, min_words, Scratch(docs.sparkSession, "substring"))
     firsts = base.groupBy("o", "t").agg(F.max(F.col("o") > F.col("first")).alias("copy"), F.max("n").alias("n"))
-    o, t = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.hash("text")
+    o, t = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), row_key(F.col("text"))
     rows = docs.select("doc_id", "text", o.alias("o"), t.alias("t")).join(firsts, ["o", "t"]).join(cut.dropDuplicates(["o", "t"]), ["o", "t"], "left")
     return rows.select("doc_id", F.when(F.col("copy"), F.lit("")).otherwise(F.coalesce("kept_text", "text", F.lit(""))).alias("kept_text"), F.when(F.col("copy"), F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"))
