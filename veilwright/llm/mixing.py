@@ -105,13 +105,6 @@ def _times(k: str, o: str, cut: str) -> Column:
     return F.least(c["epochs"] + more.cast("long"), F.lit(int(CAP)).cast("long"))
 
 
-def text_weight(text: Column) -> Column:
-    """Quality weight by the text alone: 2 if its words, with the white space after them, are 4 to 11 characters long
-    on average, as prose's are, else 1."""
-    n = n_words(text)
-    return F.when((n > 0) & (F.length(text) >= 4 * n) & (F.length(text) <= 11 * n), 2).otherwise(1)
-
-
 def label_weights(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, str]:
     """docs and the name of a new column: weight 2 for a document that labels (doc_id, quality) call good, else 1."""
     w, i = fresh(docs, "weight", "labelled_id")
@@ -123,7 +116,7 @@ def label_weights(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, str]:
 def _narrow(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """doc_id, source, size, weight, s, k, o. Words are counted before rows meet labels, so only numbers are shuffled."""
     id_, text = F.col("doc_id"), F.col("text")
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(text).alias("size"), uniform(id_, text).alias("u"), text_weight(text).alias("weight"))
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(text).alias("size"), uniform(id_, text).alias("u"), F.lit(1).alias("weight"))
     weighed, w = (sized, "weight") if labels is None else label_weights(sized.drop("weight"), labels)
     return weighed.select("doc_id", "source", "size", F.col(w).alias("weight"), source_key(F.col("source")).alias("s"), key(F.col("u"), F.col(w)).alias("k"), F.coalesce(id_.cast("long"), F.lit(NO_ID)).alias("o"))
 
@@ -133,7 +126,7 @@ def mix_report(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     source), taken (words the mix takes: size times the number of times), weight, times.
 
     Documents are taken whole, twice at most. A null text has size 0 and is never counted; a null source is a
-    source; a null doc_id draws its key from its text; without labels the weight is text_weight(); rows that repeat a doc_id share its key and are taken
+    source; a null doc_id draws its key from its text; without labels all weights are 1; rows that repeat a doc_id share its key and are taken
     together; an empty table gives none. Reruns agree, as nothing is drawn but hashes.
     """
     scratch = Scratch(docs.sparkSession, "mix")
@@ -149,7 +142,7 @@ def mix(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "mix")
     k, g, o, s, c, n = fresh(docs, "k", "good_k", "o", "s", "c", "n")
     text, id_ = F.col("text"), F.col("doc_id")
-    u, plain = uniform(id_, text), text_weight(text) if labels is None else F.lit(1)
+    u, plain = uniform(id_, text), F.lit(1)
     own = {k: key(u, plain), g: key(u, F.lit(2)), o: F.coalesce(id_.cast("long"), F.lit(NO_ID)), s: source_key(F.col("source").cast("string"))}
     rows = scratch.keep(_narrow(docs, labels).select("source", "size", "s", "k", "o"), "rows")
     cut = cuts(rows, scratch).select(F.col("s").alias(s), F.col("cut").alias(c))
