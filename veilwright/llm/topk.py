@@ -5,23 +5,29 @@ Each row's distances to the pivots are computed once and stored. For a query q a
 bound of their inner product. Rows are evaluated in falling order of that bound until it is below the k-th
 best score found, so the result is exact whatever the pivots are.
 
-Rows stay where they are; queries come to them in blocks of bounded size. Each task keeps k rows a query.
+Rows stay where they are; queries come to them in blocks of bounded size, one block at a time, so that neither the
+driver nor the executors ever hold more than a block of them. Each task keeps k rows a query.
+
+Products are exact: of vectors of moderate size in doubles, of larger ones in integers of any length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwright.llm.runtime import Scratch, ship
 
 TABLE = "vec_id long, ints binary, norm2 double, pivots binary"
-MOST = 1 << 21  # of a component's size: sums of products of 2,000 of them are exact in doubles
+EXACT = 2.0**52  # squared norms below this: no partial sum of a product of two such vectors leaves the exact doubles
+LONG = 2**63 - 1
 
 
 @dataclass(frozen=True)
@@ -37,21 +43,38 @@ class Params:
     chunk: int = 512
 
 
-def quantised(x: list[float | None] | None, dim: int, scale: int) -> np.ndarray | None:
-    """floor(scale * x) as doubles; None for vectors that take no part: null, of another length, with null or
-    non-finite components, or with components too large for exact products."""
-    if x is None or len(x) != dim or None in x:
+def quantised(x: list[float | None] | None, scale: int) -> np.ndarray | None:
+    """floor(scale * x) as doubles, which hold it exactly; None for vectors that take no part: null, or with null or
+    non-finite components."""
+    if x is None or None in x:
         return None
     v = np.array(x, dtype=np.float64)
-    if not np.isfinite(v).all():
-        return None
-    v = np.floor(scale * v)
-    return v if len(v) == 0 or np.abs(v).max() < MOST else None
+    return np.floor(scale * v) if np.isfinite(v).all() else None
+
+
+def _matrix(rows: list[np.ndarray]) -> np.ndarray:
+    """Vectors as rows, shorter ones filled up with zeros."""
+    out = np.zeros((len(rows), max(map(len, rows), default=0)))
+    for i, v in enumerate(rows):
+        out[i, : len(v)] = v
+    return out
+
+
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    n = min(a.shape[1], b.shape[1])
+    return a[:, :n] @ b[:, :n].T
+
+
+def _norms2(v: np.ndarray) -> np.ndarray:
+    return (v * v).sum(axis=1)
 
 
 def _distances(v: np.ndarray, p: np.ndarray) -> np.ndarray:
-    d2 = (v * v).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None, :] - 2 * (v @ p.T)
-    return np.sqrt(np.maximum(d2, 0))
+    return np.sqrt(np.maximum(_norms2(v)[:, None] + _norms2(p)[None, :] - 2 * _products(v, p), 0))
+
+
+def _integers(v: np.ndarray) -> list[int]:
+    return [int(x) for x in v]
 
 
 def _pivots(sample: np.ndarray, n: int) -> np.ndarray:
@@ -66,60 +89,60 @@ def _pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[chosen]
 
 
-def dimension(vectors: DataFrame) -> int:
-    """The most frequent length of a vector (the greater one in a tie)."""
-    found = vectors.where("embedding is not null").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return found["n"] if found else 0
-
-
 def build(vectors: DataFrame, params: Params = Params(), scratch: Scratch | None = None) -> DataFrame:
     """The pivot table of vectors (vec_id, embedding): one row for each that takes part."""
     spark = vectors.sparkSession
     ship(spark)
-    dim, scale = dimension(vectors), params.scale
+    scale = params.scale
     rows = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
-    drawn = [quantised(r["x"], dim, scale) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(params.sample).collect()]
-    drawn = [v for v in drawn if v is not None]
-    pivots = _pivots(np.array(drawn).reshape(len(drawn), dim), params.pivots)
+    drawn = [quantised(r["x"], scale) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(params.sample).collect()]
+    pivots = _pivots(_matrix([v for v in drawn if v is not None and v @ v < EXACT]), params.pivots)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(i, v) for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (v := quantised(x, dim, scale)) is not None]
+            got = [(i, v) for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (v := quantised(x, scale)) is not None]
             if got:
-                m = np.array([v for _, v in got]).reshape(len(got), dim)
-                d = _distances(m, pivots) if len(pivots) else np.zeros((len(got), 0))
-                cols = [pa.array([i for i, _ in got], pa.int64()), pa.array([v.astype("<i4").tobytes() for v in m], pa.binary()), pa.array((m * m).sum(axis=1)), pa.array([x.astype("<f8").tobytes() for x in d], pa.binary())]
+                norm2 = np.array([float(v @ v) for _, v in got])
+                d = _distances(_matrix([v for _, v in got]), pivots) if len(pivots) else np.zeros((len(got), 0))
+                ints = [v.astype("<i4" if n < EXACT else "<f8").tobytes() for (_, v), n in zip(got, norm2, strict=True)]
+                cols = [pa.array([i for i, _ in got], pa.int64()), pa.array(ints, pa.binary()), pa.array(norm2), pa.array([x.astype("<f8").tobytes() for x in d], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["vec_id", "ints", "norm2", "pivots"])
 
     return (scratch or Scratch(spark, "topk")).keep(rows.mapInArrow(index, TABLE), "pivots")
 
 
-def _matrices(b: pa.RecordBatch | list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _columns(b: pa.RecordBatch | list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, list[int]]]:
+    """Ids, vectors, squared norms and pivot distances of rows, and the large vectors' integers by row."""
     ids, ints, norm2, piv = (b.column(i).to_pylist() for i in range(4)) if isinstance(b, pa.RecordBatch) else zip(*b, strict=True)
-    n = len(ids)
-    return np.array(ids, dtype=np.int64), np.frombuffer(b"".join(map(bytes, ints)), "<i4").reshape(n, -1).astype(np.float64), np.array(norm2), np.frombuffer(b"".join(map(bytes, piv)), "<f8").reshape(n, -1)
+    v = [np.frombuffer(bytes(x), "<i4" if n < EXACT else "<f8").astype(np.float64) for x, n in zip(ints, norm2, strict=True)]
+    large = {i: _integers(x) for i, (x, n) in enumerate(zip(v, norm2, strict=True)) if n >= EXACT}
+    return np.array(ids, dtype=np.int64), _matrix(v), np.array(norm2), np.frombuffer(b"".join(map(bytes, piv)), "<f8").reshape(len(v), -1), large
 
 
-def _merge(best: tuple[np.ndarray, np.ndarray], score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    s, i = np.concatenate([best[0], score]), np.concatenate([best[1], ids])
-    order = np.lexsort((i, -s))[:k]
-    return s[order], i[order]
+Best = tuple[list[int], list[int]]  # scores and ids, best first
 
 
-def _searched(queries, k: int, chunk: int):
+def _merge(best: Best, score: list[int], ids: list[int], k: int) -> Best:
+    found = sorted(zip((-x for x in [*best[0], *score]), [*best[1], *ids], strict=True))[:k]
+    return [-x for x, _ in found], [i for _, i in found]
+
+
+def _searched(queries: Broadcast, k: int, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q, q2, qp = _matrices(queries.value)
-        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(q_ids)
+        q_ids, q, q2, qp, q_large = _columns(queries.value)
+        best: list[Best] = [([], [])] * len(q_ids)
         for b in batches:
             for at in range(0, len(b), 8192):
-                ids, c, c2, cp = _matrices(b.slice(at, 8192))
+                ids, c, c2, cp, c_large = _columns(b.slice(at, 8192))
+                width = min(q.shape[1], c.shape[1])
                 for first in range(0, len(q_ids), 256):
                     part = slice(first, first + 256)
                     low = np.zeros((len(q_ids[part]), len(ids)))
                     for p in range(cp.shape[1]):
                         np.maximum(low, np.abs(qp[part, p][:, None] - cp[:, p][None, :]), out=low)
+                    both = q2[part][:, None] + c2[None, :]
                     # 1 over the true bound at least: rounding must not hide a row
-                    bound = (q2[part][:, None] + c2[None, :] - low * low) / 2 + 1 + 1e-9 * (q2[part][:, None] + c2[None, :])
+                    bound = (both - low * low) / 2 + 1 + 1e-9 * both
                     for j in range(len(bound)):
                         i, up = first + j, bound[j]
                         left = np.flatnonzero(ids != q_ids[i])
@@ -130,24 +153,39 @@ def _searched(queries, k: int, chunk: int):
                             if len(best[i][0]) == k and up[left[x]] < best[i][0][-1]:
                                 break
                             now = left[x : x + chunk]
-                            best[i] = _merge(best[i], c[now] @ q[i], ids[now], k)
-        rows = [(q, int(v), int(s)) for q, (score, v_ids) in zip(q_ids.tolist(), best, strict=True) for s, v in zip(score, v_ids, strict=True)]
+                            if i in q_large or any(n in c_large for n in now.tolist()) if c_large or q_large else False:
+                                own = q_large.get(i) or _integers(q[i])
+                                score = [sum(map(mul, own, c_large.get(n) or _integers(c[n]))) for n in now.tolist()]
+                            else:
+                                score = c[now, :width] @ q[i, :width]
+                                if len(best[i][0]) == k:
+                                    now, score = now[score >= best[i][0][-1]], score[score >= best[i][0][-1]]
+                                top = np.lexsort((ids[now], -score))[:k]
+                                now, score = now[top], [int(s) for s in score[top]]
+                            best[i] = _merge(best[i], score, ids[now].tolist(), k)
+        rows = [(q, v, s) for q, (score, v_ids) in zip(q_ids.tolist(), best, strict=True) for s, v in zip(score, v_ids, strict=True)]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], pa.int64()) for n in range(3)], names=["query_id", "vec_id", "score"])
+            cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([str(r[2]) for r in rows])]
+            yield pa.RecordBatch.from_arrays(cols, names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def search(table: DataFrame, queries: DataFrame, k: int = 5, params: Params = Params()) -> DataFrame:
+def search(table: DataFrame, queries: DataFrame, k: int = 5, params: Params = Params(), scratch: Scratch | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of a pivot table with the highest inner product for each of queries
-    (rows of the same table), ties to the smaller vec_id, the query's own vec_id left out."""
+    (rows of the same table), ties to the smaller vec_id, the query's own vec_id left out.
+
+    A query that repeats an id is answered with the others of it; empty tables give none. A score beyond 64 bits comes
+    back as the nearest long; it is ranked by its true value.
+    """
     spark = table.sparkSession
     ship(spark)
-    found, held = [], []
+    scratch, found, held = scratch or Scratch(spark, "topk"), [], []
 
     def run() -> None:
         sent = spark.sparkContext.broadcast([tuple(r) for r in held])
-        found.append(table.mapInArrow(_searched(sent, k, params.chunk), "query_id long, vec_id long, score long"))
+        found.append(scratch.keep(table.mapInArrow(_searched(sent, k, params.chunk), "query_id long, vec_id long, score string"), "found"))
+        sent.unpersist()
         held.clear()
 
     for r in queries.toLocalIterator():
@@ -157,21 +195,28 @@ def search(table: DataFrame, queries: DataFrame, k: int = 5, params: Params = Pa
     if held:
         run()
     if not found:
-        found = [table.limit(0).select(F.col("vec_id").alias("query_id"), "vec_id", F.col("vec_id").alias("score"))]
+        found = [table.limit(0).select(F.col("vec_id").alias("query_id"), "vec_id", F.col("vec_id").cast("string").alias("score"))]
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    # scores of whole numbers in doubles and longs may need more than 38 digits; those are rare and are told by sign and length
+    exact, digits = F.col("score").try_cast("decimal(38,0)"), F.length(F.ltrim("score", F.lit("-")))
+    negative = F.startswith("score", F.lit("-"))
+    size = F.when(exact.isNotNull(), F.lit(0)).when(negative, -digits).otherwise(digits)
+    order = [size.desc(), F.coalesce(exact, F.lit(0)).desc(), F.when(negative, F.col("score")).asc(), F.when(~negative, F.col("score")).desc(), "vec_id"]
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    nearest = F.coalesce(F.col("score").try_cast("long"), F.when(negative, F.lit(-LONG - 1)).otherwise(F.lit(LONG)))
+    return out.select("query_id", rank.cast("int").alias("rank"), "vec_id", nearest.alias("score")).where(F.col("rank") <= k)
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, params: Params = Params()) -> DataFrame:
     """search() of all rows of vectors (vec_id, embedding) for those whose vec_id is divisible by `every`.
 
-    Vectors that are null, hold null or non-finite components, have another length than most or components
-    beyond 2^21 / scale take no part, nor do rows without vec_id. Rows that repeat a vec_id are one query (the
+    Vectors that are null or hold null or non-finite components take no part, nor do rows without vec_id. Of vectors
+    of different lengths the components that both have are multiplied. Rows that repeat a vec_id are one query (the
     first by its numbers) and each a candidate for others. An empty table gives an empty result.
     """
-    table = build(vectors, params)
+    scratch = Scratch(vectors.sparkSession, "topk")
+    table = build(vectors, params, scratch)
     queries = table.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("ints", "norm2", "pivots")).alias("x")).select("vec_id", "x.*")
-    return search(table, queries, k, params)
+    return search(table, queries, k, params, scratch)
