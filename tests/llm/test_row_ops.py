@@ -51,6 +51,19 @@ def test_line_dedup(spark):
     assert linededup.line_digest(table(spark, [])).collect() == []
 
 
+def test_line_dedup_of_very_many_lines(spark):
+    lines = [f"own line number {i}" if i % 3 else "the line that all have" for i in range(50_000)]
+    rows = [(1, "the line that all have", None), (2, "\n".join(lines), None)]
+    got = {r.doc_id: r for r in linededup.line_digest(table(spark, rows)).collect()}
+    kept = [x for x in lines if x.startswith("own")]
+    assert (got[2].n_lines, got[2].n_dropped, got[2].kept_sha256) == (50_000, 50_000 - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
+
+
+def test_substring_dedup_of_many_null_ids(spark):
+    rows = [(None, f"{' '.join(f'w{i}x{j}' for j in range(6))} a b c d e f", None) for i in range(2000)] + [(3, "a b c d e f", None)]
+    assert Counter(map(tuple, substring.repeat_digest(table(spark, rows), 5).collect())) == Counter(plain_repeats(rows, 5))
+
+
 def plain_repeats(rows, n):
     docs = [(2**63 - 1 if d is None else d, [w for w in "".join(" " if c in BLANK else c for c in (t or "")).split(" ") if w]) for d, t, _ in rows]
     first = {}
@@ -134,6 +147,20 @@ def test_rebalancing_edits_the_map(spark, tmp_path):
     assert sharding.load_map(spark, path) == (2, grown) and sharding.load_map(spark, path, 1) == (1, old)
 
 
+def test_documents_follow_the_stored_map(spark, tmp_path):
+    rows = [(i, f"text {i} " * (1 + i % 5), None) for i in range(3000)] + [(9000 + i, "the same text", None) for i in range(800)]
+    docs, path = table(spark, rows), f"file://{tmp_path}/map"
+    shard = lambda n: {r.doc_id: (r.virtual_slot, r.shard) for r in sharding.shard_documents(docs, n, path=path).collect()}
+    first, again, more = shard(4), shard(4), shard(5)
+    assert first == again and sharding.load_map(spark, path)[0] == 2
+    moved = {d for d in first if first[d] != more[d]}
+    assert moved and all(more[d] == (first[d][0], 4) for d in moved) and len(moved) < 0.3 * len(rows)
+    (_, old), (_, new) = sharding.load_map(spark, path, 1), sharding.load_map(spark, path, 2)
+    assert {first[d][0] for d in moved} <= {i for i, (a, b) in enumerate(zip(old, new)) if a != b}
+    assert len({first[9000 + i][1] for i in range(800)}) == 4  # equal texts don't share a shard
+    assert {r.map_version for r in sharding.shard_report(docs, 5, path=path).collect()} == {2}
+
+
 def water(sizes, share=1.5, weights=(5, 2, 1), cap=2):
     """Targets by the rule: share by weight, stop at the cap, share the excess again."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
@@ -211,9 +238,13 @@ def test_top_k(spark, params):
     vectors[11] = (11, vectors[0][1])
     vectors[20], vectors[21], vectors[22], vectors[23] = (20, None), (21, [None] * 8), (22, [float("nan")] * 8), (23, [float("inf")] + [0.0] * 7)
     vectors[50] = (50, [0.0] * 8)
-    rows = [(*x, 1, "q") for x in vectors] + [(900, [1.0], 0, "q"), (None, vectors[5][1], 0, "q")]
+    # other lengths, components of 8,192 and more, and scores beyond 53 bits
+    vectors += [(900, [1.0]), (901, [9000.0, -3.0, *[0.5] * 9]), (902, [3e6] * 8), (950, [-4e6, 2e6]), (951, [1e4 + i for i in range(8)]), (1000, []), (1001, [16777216.0] * 8)]
+    rows = [(*x, 1, "q") for x in vectors] + [(None, vectors[5][1], 0, "q")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, query_id string").repartition(5)
     assert sorted(map(tuple, topk.top_k(df, 50, 5, params).collect())) == sorted(plain_top(vectors, 50, 5))
+    far = spark.createDataFrame([(0, [3e38, 1.0]), (1, [3e38, 2.0]), (2, [-3e38]), (3, [1e30]), (4, [-1e30])], "vec_id long, embedding array<float>")
+    assert [(r.vec_id, r.score) for r in topk.top_k(far, 50, 5, params).orderBy("rank").collect()] == [(1, 2**63 - 1), (3, 2**63 - 1), (4, -(2**63)), (2, -(2**63))]
     few = df.where("vec_id in (0, 1, 2)")
     assert sorted(map(tuple, topk.top_k(few, 50, 5, params).collect())) == sorted(plain_top(vectors[:3], 50, 5))
     assert topk.top_k(df.limit(0), 50, 5, params).collect() == []
