@@ -47,7 +47,8 @@ def test_truncate(spark):
 
 def severity(spark, span, text):
     s, t = T.plain(F.col("s")), T.plain(F.col("t"))
-    return one(spark, T.leak_severity(s, t, T.long_words(s, dims.LEAK_WORD, dims.LEAK_STOP), F.array_distinct(T.words(t))), s=span, t=text)
+    w = T.long_words(s, dims.LEAK_WORD, dims.LEAK_STOP)
+    return one(spark, T.leak_severity(s, F.contains(t, s), F.size(w), T.overlap_share(w, F.array_distinct(T.words(t)))), s=span, t=text)
 
 
 def test_leak_tiers(spark):
@@ -134,6 +135,8 @@ def test_parse_answer():
     assert got["LOC"]["inference"] == "a: b\nmore" and got["LOC"]["certainty"] == 1
     assert got["AGE"] == {"type": "Age", "inference": "MISSING", "guess": [], "certainty": 1} and len(got) == 8
     assert len(udfs.parse_answer(None)) == 8
+    colons = udfs.parse_answer("Type: age:\nGuess: x:\nInference:\nmore: of it::\nCertainty: 3:\nInference:: y")
+    assert colons["AGE"] == {"type": "Age", "inference": ": y", "guess": ["x", "Inference"], "certainty": 3}
 
 
 def test_diff_cases():

@@ -11,9 +11,13 @@ from veilwright import dims
 SPACE = r"[\s\x{000B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{001C}-\x{001F}]"
 
 
+#: The same characters, one by one.
+BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(F.regexp_replace(c, f"^{SPACE}+", ""), f"{SPACE}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def normalize(c: Column) -> Column:
@@ -70,7 +74,7 @@ def type_name(target: Column, fallback: Column) -> Column:
 
 def truncate(c: Column, most: int) -> Column:
     s = strip(F.coalesce(c, F.lit("")))
-    head = F.regexp_replace(F.substring(s, 1, most - 18), f"{SPACE}+$", "")
+    head = F.rtrim(F.substring(s, 1, most - 18), F.lit(BLANKS))
     return F.when(F.length(s) <= most, s).otherwise(F.concat(head, F.lit("\n...[truncated]")))
 
 
@@ -126,12 +130,12 @@ def overlap_share(needle: Column, hay: Column) -> Column:
     return F.when(F.size(needle) > 0, F.size(F.array_intersect(needle, hay)) / F.size(needle)).otherwise(F.lit(0.0))
 
 
-def leak_severity(span: Column, text: Column, span_words: Column, text_words: Column) -> Column:
-    """3 if the plain span stands in the plain text, else 2 or 1 by the share of its long words found; 0 otherwise.
-    span and text are plain(), words are long_words()."""
-    share, out = overlap_share(span_words, text_words), F.when((span != "") & F.contains(text, span), 3)
+def leak_severity(span: Column, held: Column, n_words: Column, share: Column) -> Column:
+    """3 if the plain span stands in the plain text (held), else 2 or 1 by its number of long words and the share of them
+    found; 0 otherwise."""
+    out = F.when((span != "") & held, 3)
     for severity, least, part in dims.LEAK_TIERS:
-        out = out.when((span != "") & (F.size(span_words) >= least) & (share >= part), severity)
+        out = out.when((span != "") & (n_words >= least) & (share >= part), severity)
     return out.otherwise(0)
 
 
@@ -236,3 +240,25 @@ def options_text(options: Column, display: Column, target: Column, note: Column)
         F.coalesce(F.concat(F.lit(". One of: "), F.array_join(options, "; ")), F.lit("")),
         F.coalesce(F.concat(F.lit(". "), note), F.lit("")),
     )
+
+
+def scope_text(scope: Column) -> Column:
+    """A prompt's lines about the attributes of a scope."""
+    return joined(F.transform(scope, lambda a: F.concat(a["key"], F.lit(" = "), options_text(a["options"], a["display_name"], a["target_str"], a["note"]))))
+
+
+def inference_text(inferences: Column) -> Column:
+    """A prompt's lines about what was inferred, by attribute."""
+    said = lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"]["inference"], F.lit("")), F.lit(" (certainty "), F.coalesce(e["value"]["certainty"], F.lit("1")), F.lit(")"))
+    return joined(F.transform(F.array_sort(F.map_entries(inferences)), said))
+
+
+def topic_text(t: Column) -> Column:
+    """A prompt's lines about the topic of a transcript (a struct with the fields of its answer)."""
+    listed = lambda name, x: F.when(F.size(x) > 0, F.concat(F.lit(name), F.array_join(F.filter(F.transform(x, strip), lambda y: y != ""), "; ")))
+    one = lambda name, x: F.when(strip(x) != "", F.concat(F.lit(name), strip(x)))
+    found = F.array(
+        one("Topic: ", t["primary_topic"]), one("Context: ", t["secondary_context"]),
+        listed("Keep: ", t["preserve_focus"]), listed("Generalise: ", t["generalize_focus"]),
+    )
+    return F.coalesce(F.nullif(joined(F.filter(found, lambda x: x.isNotNull())), F.lit("")), F.lit("Topic: unknown"))

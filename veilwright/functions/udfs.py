@@ -102,6 +102,23 @@ def fill_json(raw: pd.Series) -> pd.Series:
     return raw.map(fenced_object)
 
 
+def outer_object(raw: str | None) -> str:
+    """The JSON object that an answer is, else what stands from its first to its last brace if that is one, else {}."""
+    text = (raw or "").strip()
+    for part in (text, text[text.find("{") : text.rfind("}") + 1]):
+        try:
+            if isinstance(found := json.loads(part), dict):
+                return json.dumps(found, ensure_ascii=False)
+        except ValueError:
+            continue
+    return "{}"
+
+
+@F.pandas_udf(StringType())
+def outer_json(raw: pd.Series) -> pd.Series:
+    return raw.map(outer_object)
+
+
 LABELS = tuple((a[0], bare(x)) for a in dims.ATTRIBUTES for x in (a[0], a[1], a[2], a[3], *a[6]))
 
 
@@ -124,36 +141,35 @@ def match_attribute(text: pd.Series) -> pd.Series:
     return text.map(attribute_of)
 
 
+def _fields(answer: str) -> Iterator[tuple[str | None, str]]:
+    """(name, value) of each line that isn't blank; the name is null where the line goes on with the field before it.
+    A colon at the end of a line counts for nothing."""
+    for line in answer.split("\n"):
+        if line.strip():
+            name, colon, value = line.removesuffix(":").partition(":")
+            yield (name.strip().lower(), value.strip()) if colon else (None, name)
+
+
 def parse_answer(answer: str | None) -> dict[str, dict]:
     """Blocks of `Type / Inference / Guess / Certainty` lines, in any order and loosely spelled, by attribute. A line
     without a colon goes on with the field before it. Every attribute has an entry; guesses are three at most."""
-    names = {a[0]: a[2] for a in dims.ATTRIBUTES}
     blocks: dict[str | None, dict] = {None: {}}
-    block, fld = None, None
-    for line in (answer or "").split("\n"):
-        if not line.strip():
-            continue
-        head, colon, tail = line.partition(":")
-        if not colon or not tail:
+    block, fld = blocks[None], None
+    for word, value in _fields(answer or ""):
+        if word is None:
             if fld == "guess":
-                blocks[block].setdefault(fld, []).append(head)
+                block.setdefault(fld, []).append(value)
             elif fld:
-                blocks[block][fld] = (blocks[block][fld] + "\n" if fld in blocks[block] else "") + head
-            continue
-        word, value = head.strip().lower(), tail.strip()
-        if ratio(word, "type") >= 0.82:
-            block = attribute_of(value)
-            blocks.setdefault(block, {})
+                block[fld] = f"{block[fld]}\n{value}" if fld in block else value
+        elif ratio(word, "type") >= 0.82:
+            block = blocks.setdefault(attribute_of(value), {})
         elif word not in ("inference", "guess", "certainty") and (key := attribute_of(word)):
-            block = key
-            blocks.setdefault(block, {})
-        else:
-            close = next((f for f in ("inference", "guess", "certainty") if ratio(word, f) >= 0.82), None)
-            if close:
-                fld = close
-                blocks[block][fld] = [v.strip() for v in value.split(";")] if fld == "guess" else value
+            block = blocks.setdefault(key, {})
+        elif close := next((f for f in ("inference", "guess", "certainty") if ratio(word, f) >= 0.82), None):
+            fld = close
+            block[fld] = [v.strip() for v in value.split(";")] if fld == "guess" else value
     out = {}
-    for key, name in names.items():
+    for key, _, name, *_ in dims.ATTRIBUTES:
         got = blocks.get(key, {"inference": "MISSING"})
         digits = re.search(r"\d+", got.get("certainty", "1"))
         guesses = [g.strip() for g in got.get("guess", []) if g.strip()]
@@ -220,10 +236,10 @@ def edits(a: list[str], b: list[str], gap: int) -> list[tuple[int, int, int, int
     return [tuple(x) for x in out]
 
 
-def diff(original: str | None, rewritten: str | None, gap: int = 2, most: int | None = 1500) -> dict:
+def diff(original: str | None, rewritten: str | None, gap: int = 2, most: int | None = None) -> dict:
     """Template and masks of what a rewrite changes: each changed stretch of the original becomes [MASK_i]. What the
-    rewrite only adds has no mask. Texts of more than `most` tokens (None: no text) are not compared and come back
-    as skipped."""
+    rewrite only adds has no mask. Texts of any length are compared; where `most` is given, those of more tokens are not and
+    come back as skipped."""
     original, rewritten = original or "", rewritten or ""
     a, b = list(NON_SPACE.finditer(original)), list(NON_SPACE.finditer(rewritten))
     if most is not None and max(len(a), len(b)) > most:
@@ -241,7 +257,7 @@ def diff(original: str | None, rewritten: str | None, gap: int = 2, most: int |
     return {"template": "".join(parts) + original[at:], "masks": masks, "skipped": False}
 
 
-def diff_to_masks(original: Column, rewritten: Column, gap: int = 2, most: int | None = 1500) -> Column:
+def diff_to_masks(original: Column, rewritten: Column, gap: int = 2, most: int | None = None) -> Column:
     """diff() of two columns, a struct of template, masks (in order) and skipped."""
 
     @F.pandas_udf(MASKS)

@@ -38,17 +38,25 @@ def report_spans(df: DataFrame, report: str, least: int = 3) -> DataFrame:
 
 
 def span_leakage(spans: DataFrame, texts: DataFrame, on: list[str]) -> DataFrame:
-    """spans (on, span, pos) with span_norm, token_overlap, severity and reason against the rewrites (on, text).
+    """spans (on, pos, span) with span_norm, token_overlap, severity and reason against the rewrites (on, text).
 
-    Each text is normalised and cut into words once, before the join; the join is an equi-join on the document, so
-    spans never meet texts of other documents.
+    A document's spans are gathered to meet its normalised text once, as only `contains` needs the text. Words are matched
+    by an equi-join on document and word, so neither the text nor its words stand on every span's row.
     """
-    t = texts.select(*on, T.plain(F.col("text")).alias("_text")).withColumn("_words", F.array_distinct(T.words(F.col("_text"))))
-    s = spans.withColumn("span_norm", T.plain(F.col("span"))).withColumn("_span_words", T.long_words(F.col("span_norm"), dims.LEAK_WORD, dims.LEAK_STOP))
-    j = s.join(t, on)
-    severity = T.leak_severity(F.col("span_norm"), F.col("_text"), F.col("_span_words"), F.col("_words"))
-    out = j.withColumn("severity", severity).withColumn("token_overlap", F.round(T.overlap_share(F.col("_span_words"), F.col("_words")), 3))
-    return out.withColumn("reason", T.leak_reason(F.col("severity"))).drop("_text", "_words", "_span_words")
+    norm = spans.withColumn("span_norm", T.plain(F.col("span"))).withColumn("_w", T.long_words(F.col("span_norm"), dims.LEAK_WORD, dims.LEAK_STOP))
+    t = texts.select(*on, T.plain(F.col("text")).alias("_text"))
+    rest = [c for c in norm.columns if c not in on]
+    many = norm.groupBy(*on).agg(F.collect_list(F.struct(*rest)).alias("_spans")).join(t, on)
+    held = many.select(*on, F.explode(F.transform("_spans", lambda s: F.struct(*[s[c].alias(c) for c in rest], F.contains(F.col("_text"), s["span_norm"]).alias("_in")))).alias("_s")).select(*on, "_s.*")
+    key = [*on, "pos", "span_norm"]
+    words = t.select(*on, F.explode(F.array_distinct(T.words(F.col("_text")))).alias("_word"))
+    asked = norm.where(F.size("_w") > 0).dropDuplicates(key).select(*key, F.explode("_w").alias("_word"))
+    found = asked.join(words, [*on, "_word"]).groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    share = F.when(F.size("_w") > 0, F.coalesce("_n", F.lit(0)) / F.size("_w")).otherwise(F.lit(0.0))
+    out = held.join(found, key, "left").withColumn("_share", share)
+    severity = T.leak_severity(F.col("span_norm"), F.col("_in"), F.size("_w"), F.col("_share"))
+    out = out.withColumn("severity", severity).withColumn("token_overlap", F.round("_share", 3)).withColumn("reason", T.leak_reason(F.col("severity")))
+    return out.select(*spans.columns, "span_norm", "severity", "token_overlap", "reason")
 
 
 def leak_totals(leaks: DataFrame, on: list[str], documents: DataFrame | None = None) -> DataFrame:

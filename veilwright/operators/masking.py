@@ -12,7 +12,7 @@ from veilwright.functions.udfs import diff_to_masks
 MASK_LIST = "array<struct<key:string,original:string,seed:string>>"
 
 
-def mask_changes(df: DataFrame, original: str, rewritten: str, gap: int = 2, most_tokens: int | None = 1500) -> DataFrame:
+def mask_changes(df: DataFrame, original: str, rewritten: str, gap: int = 2, most_tokens: int | None = None) -> DataFrame:
     """df with template, masks and skipped: what the rewrite changes is masked."""
     out = df.withColumn("_m", diff_to_masks(F.col(original), F.col(rewritten), gap, most_tokens))
     return out.select(*df.columns, "_m.template", "_m.masks", "_m.skipped")
@@ -37,13 +37,14 @@ def mask_spans(text: Column, spans: Column) -> Column:
 
 
 def masked(df: DataFrame, original: str, rewritten: str, spans: str, gap: int = 2, most_tokens: int | None = None) -> DataFrame:
-    """df with template, masks and was_masked: what the rewrite changes; the spans instead where it changes nothing."""
+    """df with template, masks, was_masked and skipped: what the rewrite changes; the spans instead where it changes nothing
+    or, as skipped tells, was not compared."""
     out = mask_changes(df, original, rewritten, gap, most_tokens).withColumn("_by_span", mask_spans(F.col(original), F.coalesce(F.col(spans), dims.text_array(()))))
     none = F.size("masks") == 0
     plain = F.transform("masks", lambda m: F.struct(m["key"].alias("key"), m["original"].alias("original"), m["seed"].alias("seed")))
     template = F.when(none, F.col("_by_span.template")).otherwise(F.col("template"))
     masks = F.when(none, F.col("_by_span.masks")).otherwise(plain)
-    return out.select(*df.columns, template.alias("template"), masks.alias("masks"), (F.size(masks) > 0).alias("was_masked"))
+    return out.select(*df.columns, template.alias("template"), masks.alias("masks"), (F.size(masks) > 0).alias("was_masked"), "skipped")
 
 
 def assembled(template: Column, masks: Column, fills: Column) -> Column:
@@ -59,5 +60,9 @@ def unrefilled(template: Column, masks: Column) -> Column:
 
 
 def restored(template: Column, masks: Column) -> Column:
-    """The original again: the inverse of masking."""
-    return F.aggregate(F.reverse(masks), template, lambda acc, m: F.replace(acc, F.concat(F.lit("["), m["key"], F.lit("]")), m["original"]))
+    """The original again: the inverse of masking what a rewrite changes. There tokens stand once each and in order, so
+    the template is cut at them once; where the original had such tokens of its own, masks are put back one by one."""
+    parts = F.split(template, r"\[MASK_[0-9]+\]", -1)
+    whole = F.array_join(F.zip_with(parts, F.transform(masks, lambda m: m["original"]), lambda p, o: F.concat(p, F.coalesce(o, F.lit("")))), "")
+    by_one = F.aggregate(F.reverse(masks), template, lambda acc, m: F.replace(acc, F.concat(F.lit("["), m["key"], F.lit("]")), m["original"]))
+    return F.when(F.size(parts) == F.size(masks) + 1, whole).otherwise(by_one)
