@@ -1,8 +1,14 @@
 import json
+import os
+import uuid
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from veilwright import dims
+from veilwright.functions import text as T
+from veilwright.functions import udfs
 from veilwright.plans import models, workflows
 from veilwright.streaming import resume
 
@@ -52,6 +58,100 @@ def test_anonymize(spark):
     assert its["d1"].template_text == "write to [MASK_1] please" and len(its["d1"].variations) == 3 and its["d1"].best_variation_idx == 0
 
 
+class Counted(models.RuleBackend):
+    """Writes a file for each call."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def answer(self, stage, model, system, user):
+        open(f"{self.folder}/{stage}-{uuid.uuid4().hex}", "w").close()
+        return super().answer(stage, model, system, user)
+
+
+def test_each_request_is_asked_once(spark, tmp_path):
+    docs = spark.createDataFrame([(f"d{i}", f"write {i} to ann{i}@example.org please") for i in range(4)], "document_id string, text string")
+    documents, iterations = workflows.anonymize(docs, Counted(str(tmp_path)), workflows.Options(rounds=2, variations=2))
+    assert documents.count() == iterations.count() == 4 and documents.where("final_text like '%ann%'").isEmpty()
+    calls = Counter(x.split("-")[0] for x in os.listdir(tmp_path))
+    once, twice = ("privacy_inference", "topic_focus", "utility_summary", "fingerprints"), ("round_inference", "rewrite", "refill", "attack", "compare", "specificity", "keeper")
+    assert calls == {x: 4 for x in once} | {x: 8 for x in twice}
+
+
+class Street(models.RuleBackend):
+    """Rewrites a street, which it doesn't list as evidence."""
+
+    def answer(self, stage, model, system, user):
+        if stage == "rewrite":
+            return "#" + user.rpartition(f"{models.TEXT}\n")[2].replace("14 Elm Street", "a street")
+        return super().answer(stage, model, system, user)
+
+
+def test_long_transcripts_are_masked(spark):
+    words = " ".join(f"word{i % 700}" for i in range(3000))
+    docs = spark.createDataFrame([("long", f"{words} I live at 14 Elm Street now. {words}"), ("short", "at 14 Elm Street")], "document_id string, text string")
+    o = workflows.Options(rounds=1, variations=1)
+    got = {r.document_id: r for r in workflows.anonymize(docs, Street(), o)[0].collect()}
+    assert all(r.was_masked and r.status == "success" and "Elm" not in r.final_text for r in got.values())
+    assert got["long"].final_text.startswith(words) and got["long"].final_text.endswith(words)
+    got = {r.document_id: r for r in workflows.anonymize(docs, Street(), workflows.Options(rounds=1, variations=1, most_tokens=100))[0].collect()}
+    assert got["long"].status == "failed" and got["long"].final_text is None and got["short"].status == "success"
+
+
+class Pets(models.RuleBackend):
+    """Finds a pet where a request asks for it."""
+
+    def answer(self, stage, model, system, user):
+        context, _, text = user.rpartition(f"{models.TEXT}\n")
+        if stage == "expand_attributes":
+            return json.dumps({"attributes": [{"key": "pet", "display_name": "Pet", "target_str": "pets", "options": ["cat", "dog"], "note": "any animal"}]})
+        if stage in ("privacy_inference", "attack"):
+            found = [x for x in ("my dog Rex", "10.0.0.1") if x in text]
+            said = {"inference": "", "guesses": [], "certainty": "5", "evidence_spans": found}
+            return json.dumps({k: said for k in ("PET", "LOC") if f"{k} = " in context})
+        if stage == "rewrite":
+            return "#" + (text.replace("my dog Rex", "an animal") if "PET = Pet: pets. One of: cat; dog. any animal" in context else text)
+        return super().answer(stage, model, system, user)
+
+
+def test_scopes_act(spark):
+    docs = spark.createDataFrame([("d1", "I walk my dog Rex by 10.0.0.1 daily"), ("d2", "nothing here")], "document_id string, text string")
+    cand = spark.createDataFrame([("d1", [(["Ann"], "the mayor", "high", "m", "n")])], "document_id string, candidates array<struct<interviewee_candidates:array<string>,identity_label:string,confidence:string,matches_description:string,mismatches_description:string>>")
+    small = {"rounds": 1, "variations": 1}
+
+    def run(o):
+        documents, _, scopes = workflows.expanded(docs, cand, Pets(), o)
+        found = {r.document_id: r for r in documents.collect()}["d1"]
+        return found, [a.key for a in found.scope]
+
+    base, keys = run(workflows.Options(scope=workflows.Scope.BASE_ONLY, **small))
+    assert "PET" not in keys and len(keys) == 8 and base.evidence_spans == ["my dog Rex", "10.0.0.1"] and base.fingerprints == ["10.0.0.1"]
+    wide, keys = run(workflows.Options(**small))
+    assert keys[-1] == "PET" and len(keys) == 9 and "Rex" not in wide.final_text
+    pure, keys = run(workflows.pure_adaptive(**small))
+    assert keys == ["PET"] and pure.evidence_spans == ["my dog Rex", "10.0.0.1"] and "Rex" not in pure.final_text
+    with pytest.raises(ValueError):
+        workflows.anonymize(docs, Pets(), workflows.pure_adaptive(**small))
+
+
+def test_backends_and_prompts(spark):
+    models.register("pets", Pets)
+    assert isinstance(models.backend("pets"), Pets) and isinstance(models.backend("replay"), models.ReplayBackend)
+    with pytest.raises(ValueError):
+        models.backend("none")
+    raw = 'so {"primary_topic": " maps ", "preserve_focus": ["a", " "], "secondary_context": null} ok'
+    df = spark.createDataFrame([("text", raw, {"AGE": ("old", [], "4", [])}), ("t", "no", None)], f"text string, raw string, inf {workflows.INFERENCES}")
+    df = models.parsed(df, workflows.TOPIC, out="t")
+    got = df.select(models.prompt(F.col("text"), T.topic_text(F.col("t"))).alias("p"), models.prompt(F.col("text"), F.lit(None).cast("string")).alias("q"), T.inference_text(F.col("inf")).alias("i")).collect()
+    assert got[0].p == f"Topic: maps\nKeep: a\n{models.TEXT}\ntext" and got[0].q == "text" and got[0].i == "AGE: old (certainty 4)"
+    assert got[1].p == f"Topic: unknown\n{models.TEXT}\nt"
+    objects = ['{"a": 1}', 'x {"a": {"b": "}"}} y', '{"a": 1} and {"b": 2}', "[1]", None]
+    assert [udfs.outer_object(x) for x in objects] == ['{"a": 1}', '{"a": {"b": "}"}}', "{}", "{}", "{}"]
+    assert [udfs.recover_json(x) for x in objects[2:]] == ['{"a": 1}', "[1]", "{}"]
+    answers = spark.createDataFrame([(x,) for x in objects], "raw string")
+    assert [r.j and r.j.a for r in models.parsed(answers, "a string", out="j", stage="judge_fact").collect()] == ["1", '{"b":"}"}', None, None, None]
+
+
 class NoRefill(models.RuleBackend):
     def answer(self, stage, model, system, user):
         if stage == "refill":

@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import re
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -20,36 +20,55 @@ from pyspark.sql import functions as F
 
 from veilwright import dims
 from veilwright.functions import text as T
-from veilwright.functions.udfs import fill_json, json_recover
+from veilwright.functions.udfs import fill_json, json_recover, outer_json
+from veilwright.session import stored
 
 SCHEMA_VERSION = "1"
 RESPONSE = "cache_key string, raw string, error string, created_at timestamp"
 
-#: Our own wordings; the answers' fields are the data contract.
-SYSTEM = {
-    "privacy_inference": "Infer each listed attribute of the speaker from the transcript. Answer with JSON by attribute key: inference, guesses (three), certainty 1-5, evidence_spans.",
-    "topic_focus": "Name the topic of the transcript. Answer with JSON: primary_topic, secondary_context, preserve_focus, generalize_focus, rationale.",
-    "utility_summary": "Summarise what is useful in the transcript. Answer with JSON by dimension: attribute, summary, key_spans, richness 1-5.",
-    "fingerprints": "List five to ten phrases that could single out the speaker. Answer with JSON: fingerprints.",
-    "round_inference": "Say for each attribute: Type, Inference, Guess (three, by semicolons), Certainty 1-5, each on a line.",
-    "rewrite": "Generalise what gives attributes away and change nothing else. Explain, then put # on a line, then the text.",
-    "refill": "Fill each mask token with a general expression. Answer with JSON by token.",
-    "attack": "Infer each listed attribute of the speaker from the transcript. Answer with JSON by attribute key: inference, guesses (three), certainty 1-5, evidence_spans.",
-    "compare": "Compare inferences before and after. Answer with JSON by attribute key: leaked, certainty_delta, severity 0-5, evidence_spans, explanation; and total_severity.",
-    "specificity": "Judge five dimensions. Answer with JSON: dimensions by name with too_specific, rationale, evidence_spans; and too_specific_count.",
-    "keeper": "Judge what the rewrite keeps. Answer with JSON by dimension: preserved, loss_severity 0-5, lost_details; and total_loss.",
-    "expand_attributes": "Propose further attributes that the evidence shows. Answer with JSON: attributes with key, display_name, target_str, options, note.",
-    "merge_descriptions": "Unite descriptions of one candidate. Answer with JSON: unified_description.",
-    "extract_facts": "Split descriptions into atomic facts. Answer with JSON by attribute key: lists of fact, supporting_candidates, source_fields.",
-    "attribute_summary": "Summarise what the transcript says about one attribute. Answer with JSON: supported, summary_description, evidence_quote.",
-    "summary_sanity": "Keep only what belongs to the attribute. Answer with JSON: summary_description.",
-    "summary_facts": "Split a summary into atomic facts. Answer with JSON: facts.",
-    "merge_facts": "Merge facts that say the same. Answer with JSON: merged_facts with primary_attribute_key, fact, source_fact_ids.",
-    "judge_fact": "Can the fact be recovered from the transcript? Answer with JSON: decision, reasoning, evidence_quote.",
-    "judge_code_fact": "Can the coded fact be recovered from the transcript? Answer with JSON: decision, reasoning, evidence_quote.",
+TEXT = "=== TEXT ==="  # the line between a request's context and its text
+
+
+@dataclass(frozen=True)
+class Stage:
+    """A kind of request: its system prompt (our own wording; the answer's fields are the data contract) and how an answer
+    that isn't JSON as it stands is read. recover: its first balanced object or list; fenced: the object in a code fence,
+    else the first that parses; outer: what stands from the first to the last brace; text: not JSON."""
+
+    system: str
+    parse_mode: str = "recover"
+
+
+STAGES = {
+    "privacy_inference": Stage("Infer each listed attribute of the speaker from the transcript. Answer with JSON by attribute key: inference, guesses (three), certainty 1-5, evidence_spans."),
+    "topic_focus": Stage("Name the topic of the transcript. Answer with JSON: primary_topic, secondary_context, preserve_focus, generalize_focus, rationale."),
+    "utility_summary": Stage("Summarise what is useful in the transcript. Answer with JSON by dimension: attribute, summary, key_spans, richness 1-5."),
+    "fingerprints": Stage("List five to ten phrases that could single out the speaker. Answer with JSON: fingerprints."),
+    "round_inference": Stage("Say for each attribute: Type, Inference, Guess (three, by semicolons), Certainty 1-5, each on a line.", "text"),
+    "rewrite": Stage("Generalise what gives attributes away and change nothing else. Explain, then put # on a line, then the text.", "text"),
+    "refill": Stage("Fill each mask token with a general expression. Answer with JSON by token.", "fenced"),
+    "attack": Stage("Infer each listed attribute of the speaker from the transcript. Answer with JSON by attribute key: inference, guesses (three), certainty 1-5, evidence_spans."),
+    "compare": Stage("Compare inferences before and after. Answer with JSON by attribute key: leaked, certainty_delta, severity 0-5, evidence_spans, explanation; and total_severity."),
+    "specificity": Stage("Judge five dimensions. Answer with JSON: dimensions by name with too_specific, rationale, evidence_spans; and too_specific_count."),
+    "keeper": Stage("Judge what the rewrite keeps. Answer with JSON by dimension: preserved, loss_severity 0-5, lost_details; and total_loss."),
+    "expand_attributes": Stage("Propose further attributes that the evidence shows. Answer with JSON: attributes with key, display_name, target_str, options, note."),
+    "merge_descriptions": Stage("Unite descriptions of one candidate. Answer with JSON: unified_description.", "outer"),
+    "extract_facts": Stage("Split descriptions into atomic facts. Answer with JSON by attribute key: lists of fact, supporting_candidates, source_fields.", "outer"),
+    "attribute_summary": Stage("Summarise what the transcript says about one attribute. Answer with JSON: supported, summary_description, evidence_quote.", "outer"),
+    "summary_sanity": Stage("Keep only what belongs to the attribute. Answer with JSON: summary_description.", "outer"),
+    "summary_facts": Stage("Split a summary into atomic facts. Answer with JSON: facts.", "outer"),
+    "merge_facts": Stage("Merge facts that say the same. Answer with JSON: merged_facts with primary_attribute_key, fact, source_fact_ids.", "outer"),
+    "judge_fact": Stage("Can the fact be recovered from the transcript? Answer with JSON: decision, reasoning, evidence_quote.", "outer"),
+    "judge_code_fact": Stage("Can the coded fact be recovered from the transcript? Answer with JSON: decision, reasoning, evidence_quote.", "outer"),
 }
 
 
+def prompt(text: Column, *context: Column) -> Column:
+    """A request's text after its context, which may be null or empty."""
+    head = F.concat_ws("\n", *[F.nullif(c, F.lit("")) for c in context]) if context else F.lit("")
+    return F.when(head == "", text).otherwise(F.concat_ws("\n", head, F.lit(TEXT), text))
+
+
 class Backend(Protocol):
     """Answers one request; raises if it can't."""
 
@@ -73,7 +92,10 @@ class RuleBackend:
         return list(dict.fromkeys(self.PERSONAL.findall(text)))
 
     def answer(self, stage: str, model: str, system: str, user: str) -> str:
+        context, _, user = user.rpartition(f"{TEXT}\n")
         spans = self._spans(user)
+        if stage == "fingerprints":
+            return json.dumps({"fingerprints": spans})
         if stage in ("privacy_inference", "attack"):
             empty = {"inference": "", "guesses": [], "certainty": 1, "evidence_spans": []}
             return json.dumps({a[0]: empty for a in dims.ATTRIBUTES} | {"LOC": {"inference": "contact details", "guesses": [], "certainty": 5 if spans else 1, "evidence_spans": spans}})
@@ -88,14 +110,29 @@ class RuleBackend:
         if stage == "keeper":
             return json.dumps({k: {"preserved": True, "loss_severity": 0} for k in dims.UTILITY} | {"total_loss": user.count("a detail")})
         if stage in ("judge_fact", "judge_code_fact"):
-            fact, _, transcript = user.partition("\n")
-            found = bool(fact) and fact.lower() in transcript.lower()
+            fact = context.partition("\n")[0]
+            found = bool(fact) and fact.lower() in user.lower()
             return json.dumps({"decision": dims.DECISIONS["yes" if found else "no"], "reasoning": "", "evidence_quote": fact if found else ""})
         if stage == "round_inference":
             return "\n".join(f"Type: {a[1]}\nInference: none\nGuess: a; b; c\nCertainty: 1" for a in dims.ATTRIBUTES)
         return "{}"
 
 
+BACKENDS: dict[str, Callable[[], Backend]] = {"replay": ReplayBackend, "rules": RuleBackend}
+
+
+def register(name: str, make: Callable[[], Backend]) -> None:
+    """Make a backend known by a name. What make() returns goes to executors, so it has to be picklable."""
+    BACKENDS[name] = make
+
+
+def backend(name: str) -> Backend:
+    """The backend of a name; fails for names that aren't known."""
+    if name not in BACKENDS:
+        raise ValueError(f"unknown backend {name!r}; known are {', '.join(sorted(BACKENDS))}")
+    return BACKENDS[name]()
+
+
 @dataclass(frozen=True)
 class Calls:
     """tries and wait: attempts at a call, and seconds before the second, growing to 8; at_once: calls made at a time
@@ -108,7 +145,7 @@ class Calls:
 
 def requests(df: DataFrame, stage: str, model: str, doc_key: Column, user: Column, version: str = SCHEMA_VERSION) -> DataFrame:
     """cache_key, stage, model, schema_version, doc_key, system, user for each row of df."""
-    r = df.select(F.lit(stage).alias("stage"), F.lit(model).alias("model"), F.lit(version).alias("schema_version"), doc_key.cast("string").alias("doc_key"), F.lit(SYSTEM.get(stage, "")).alias("system"), user.alias("user"))
+    r = df.select(F.lit(stage).alias("stage"), F.lit(model).alias("model"), F.lit(version).alias("schema_version"), doc_key.cast("string").alias("doc_key"), F.lit(STAGES[stage].system if stage in STAGES else "").alias("system"), user.alias("user"))
     key = T.content_hash(**{c: F.col(c) for c in ("stage", "model", "schema_version", "doc_key", "system", "user")})
     return r.select(key.alias("cache_key"), *r.columns)
 
@@ -149,20 +186,23 @@ def called(reqs: DataFrame, backend: Backend, calls: Calls = Calls()) -> DataFra
 
 
 def answered(reqs: DataFrame, backend: Backend, responses: DataFrame | None = None, calls: Calls = Calls()) -> tuple[DataFrame, DataFrame]:
-    """(requests with raw and error, new responses): recorded responses first, the backend for the rest."""
-    if responses is None:
-        new = called(reqs, backend, calls)
-        return reqs.join(new.select("cache_key", "raw", "error"), "cache_key", "left"), new
-    new = called(unanswered(reqs, responses), backend, calls)
-    both = responses.where("error is null").select("cache_key", "raw", "error").unionByName(new.select("cache_key", "raw", "error"))
+    """(requests with raw and error, new responses): recorded responses first, the backend for the rest. The new responses
+    are stored before anything reads them, so each request is asked once and all readers see the same answer. reqs is
+    computed more than once; what it is made from should be a table."""
+    new = stored(called(reqs if responses is None else unanswered(reqs, responses), backend, calls), "responses")
+    both = new.select("cache_key", "raw", "error")
+    if responses is not None:
+        both = responses.where("error is null").select("cache_key", "raw", "error").unionByName(both)
     return reqs.join(both.dropDuplicates(["cache_key"]), "cache_key", "left"), new
 
 
-def parsed(df: DataFrame, schema: str, column: str = "raw", out: str = "answer", fenced: bool = False) -> DataFrame:
-    """df with the answer's JSON as a struct; where strict parsing fails, what can be recovered of it."""
+def parsed(df: DataFrame, schema: str, column: str = "raw", out: str = "answer", stage: str = "") -> DataFrame:
+    """df with the answer's JSON as a struct, read in the stage's parse mode."""
+    mode = STAGES[stage].parse_mode if stage in STAGES else "recover"
+    if mode in ("fenced", "outer"):
+        return df.withColumn(out, F.from_json((fill_json if mode == "fenced" else outer_json)(F.col(column)), schema))
     strict = F.from_json(F.when(F.try_parse_json(column).isNotNull(), F.col(column)), schema)
-    loose = F.from_json(fill_json(F.col(column)) if fenced else json_recover(F.col(column)), schema)
-    return df.withColumn(out, F.coalesce(strict, loose))
+    return df.withColumn(out, F.coalesce(strict, F.from_json(json_recover(F.col(column)), schema)))
 
 
 def health(spark, backend: Backend, model: str) -> str:

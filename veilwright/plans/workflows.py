@@ -13,10 +13,11 @@ from veilwright.functions import text as T
 from veilwright.functions.udfs import parse_inference
 from veilwright.operators import attributes as A
 from veilwright.operators import compare, facts, leakage, masking, recover, selection
-from veilwright.plans.models import Backend, Calls, ReplayBackend, answered, called, parsed, requests, unanswered
-from veilwright.session import checkpointed
+from veilwright.plans.models import Backend, Calls, ReplayBackend, answered, called, parsed, prompt, requests, unanswered
+from veilwright.session import checkpointed, stored
 
 INFERENCES = leakage.INFERENCES
+TOPIC = "primary_topic string, secondary_context string, preserve_focus array<string>, generalize_focus array<string>"
 VULNERABILITY = "map<string,string>"
 DIMENSIONS = "dimensions map<string,struct<too_specific:boolean,rationale:string,evidence_spans:array<string>>>, too_specific_count string"
 
@@ -47,7 +48,7 @@ class Options:
 
 
 def pure_adaptive(**changes) -> Options:
-    """The options of runs that protect only what was found per document."""
+    """The options of runs that protect only what was found for each document."""
     return Options(**({"scope": Scope.PURE, "max_new": 4, "max_total": 12} | changes))
 
 
@@ -58,38 +59,74 @@ def _ask(df: DataFrame, stage: str, user: Column, key: Column, backend: Backend,
     return keyed.join(got.select(F.col("doc_key").alias("_key"), "raw", "error"), "_key", "left").drop("_key", "_user")
 
 
-def initialized(docs: DataFrame, backend: Backend, o: Options = Options(), responses: DataFrame | None = None) -> DataFrame:
-    """docs (document_id, text) with inferences, evidence_spans, topic_focus, insight_profile and status."""
-    inf = parsed(_ask(docs, "privacy_inference", F.col("text"), F.col("document_id"), backend, o, responses, ["document_id", "text"]), INFERENCES, out="inferences")
-    inf = inf.select("document_id", "text", F.coalesce("inferences", F.from_json(F.lit("{}"), INFERENCES)).alias("inferences"), "error")
-    spans = leakage.evidence_spans(inf.select("document_id", "inferences"), "inferences", least=o.certainty)
+def scoped(docs: DataFrame, scopes: DataFrame | None, o: Options = Options()) -> DataFrame:
+    """docs with scope, the list of attributes that a document is protected for: what scopes (document_id, scope) says. The
+    base stands for documents that it leaves out; in a pure run these have none."""
+    if o.scope is Scope.PURE and scopes is None:
+        raise ValueError("a pure run needs the scopes that were found for its documents")
+    other = F.array().cast(A.LIST) if o.scope is Scope.PURE else A.base_list()
+    if scopes is None or o.scope is Scope.BASE_ONLY:
+        return docs.withColumn("scope", other)
+    return docs.join(scopes.select("document_id", "scope"), "document_id", "left").withColumn("scope", F.coalesce("scope", other))
+
+
+def _keys(scope: str | Column) -> Column:
+    return F.transform(scope, lambda a: a["key"])
+
+
+def initialized(docs: DataFrame, backend: Backend, o: Options = Options(), responses: DataFrame | None = None, scopes: DataFrame | None = None) -> DataFrame:
+    """docs (document_id, text; one row a document) with scope, inferences, evidence_spans, topic_focus, insight_profile,
+    fingerprints (ten at most) and status."""
+    d = scoped(docs.select("document_id", "text"), scopes, o)
+    inf = parsed(_ask(d, "privacy_inference", prompt(F.col("text"), T.scope_text(F.col("scope"))), F.col("document_id"), backend, o, responses, ["document_id", "text", "scope"]), INFERENCES, out="inferences")
+    inf = inf.select("document_id", "text", "scope", F.coalesce("inferences", F.from_json(F.lit("{}"), INFERENCES)).alias("inferences"), "error")
+    spans = leakage.evidence_spans(inf.select("document_id", "inferences", _keys("scope").alias("_k")), "inferences", F.col("_k"), o.certainty).drop("_k")
     spans = spans.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "span"))), lambda x: x["span"]).alias("evidence_spans"))
     topic = _ask(docs, "topic_focus", F.col("text"), F.col("document_id"), backend, o, responses, ["document_id", "text"]).select("document_id", "text", F.col("raw").alias("topic_focus"))
-    profile = _ask(topic, "utility_summary", F.concat_ws("\n", "topic_focus", "text"), F.col("document_id"), backend, o, responses, ["document_id"]).select("document_id", F.col("raw").alias("insight_profile"))
+    profile = _ask(parsed(topic, TOPIC, "topic_focus", "_t"), "utility_summary", prompt(F.col("text"), T.topic_text(F.col("_t"))), F.col("document_id"), backend, o, responses, ["document_id"]).select("document_id", F.col("raw").alias("insight_profile"))
     out = inf.join(spans, "document_id", "left").join(topic.select("document_id", "topic_focus"), "document_id", "left").join(profile, "document_id", "left")
-    return out.withColumn("evidence_spans", F.coalesce("evidence_spans", dims.text_array(()))).withColumn("status", F.when(F.col("error").isNull(), "initialized").otherwise("failed"))
+    out = out.join(fingerprints(docs, backend, o, responses), "document_id", "left")
+    none = {c: F.coalesce(c, dims.text_array(())) for c in ("evidence_spans", "fingerprints")}
+    return out.withColumns(none).withColumn("status", F.when(F.col("error").isNull(), "initialized").otherwise("failed"))
+
+
+def fingerprints(docs: DataFrame, backend: Backend, o: Options = Options(), responses: DataFrame | None = None, most: int = 10) -> DataFrame:
+    """document_id, fingerprints: the phrases that could single a speaker out, in the answer's order. Those of 3 characters
+    or more, one of each in any case, `most` at most. A failed call gives none."""
+    got = parsed(_ask(docs, "fingerprints", F.col("text"), F.col("document_id"), backend, o, responses, ["document_id"]), "fingerprints array<string>", out="f")
+    each = got.select("document_id", F.posexplode("f.fingerprints").alias("pos", "phrase"))
+    first = selection.top_n_values(each, ["document_id"], "phrase", "pos", most)
+    return first.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "phrase"))), lambda x: x["phrase"]).alias("fingerprints"))
 
 
 def converged(docs: DataFrame, backend: Backend, o: Options = Options(), responses: DataFrame | None = None, cut=None) -> DataFrame:
-    """docs (document_id, text) with rewritten after a fixed number of rounds; a round that fails keeps the text before.
-    Between rounds the lineage is cut by `cut` (by default a checkpoint in the shared folder)."""
-    now = docs.select("document_id", "text", F.col("text").alias("rewritten"))
+    """docs (document_id, text, scope) with rewritten after a fixed number of rounds; a round that fails keeps the text
+    before. Requests name the base attributes and the document's own. Between rounds the lineage is cut by `cut` (by default
+    a checkpoint in the shared folder)."""
+    own = docs.withColumn("_lines", T.scope_text(A.merge(A.base_list(), F.col("scope"))))
+    now = own.select("document_id", "text", "_lines", F.col("text").alias("rewritten"))
+    rest = ["document_id", "text", "_lines", "rewritten"]
     for i in range(o.rounds):
         key = F.concat_ws("#", "document_id", F.lit(i))
-        seen = _ask(now, "round_inference", F.col("rewritten"), key, backend, o, responses, ["document_id", "text", "rewritten"])
-        seen = seen.select("document_id", "text", "rewritten", F.coalesce("raw", F.lit("")).alias("inference"))
-        new = _ask(seen, "rewrite", F.col("rewritten"), key, backend, o, responses, ["document_id", "text", "rewritten", "inference"])
-        now = new.select("document_id", "text", T.rewritten_part(F.col("raw"), F.col("rewritten")).alias("rewritten"), parse_inference(F.col("inference")).alias("last_inference"))
+        seen = _ask(now, "round_inference", prompt(F.col("rewritten"), F.col("_lines")), key, backend, o, responses, rest)
+        seen = seen.select(*rest, F.coalesce("raw", F.lit("")).alias("inference"))
+        new = _ask(seen, "rewrite", prompt(F.col("rewritten"), F.col("_lines"), F.col("inference")), key, backend, o, responses, [*rest, "inference"])
+        now = new.select("document_id", "text", "_lines", T.rewritten_part(F.col("raw"), F.col("rewritten")).alias("rewritten"), parse_inference(F.col("inference")).alias("last_inference"))
         now = (cut or checkpointed)(now) if i + 1 < o.rounds else now
-    return now if o.rounds else now.withColumn("last_inference", parse_inference(F.lit("")))
+    return (now if o.rounds else now.withColumn("last_inference", parse_inference(F.lit("")))).drop("_lines")
 
 
 def refilled(masked: DataFrame, backend: Backend, o: Options = Options(), responses: DataFrame | None = None) -> DataFrame:
-    """masked (document_id, template, masks) with idx and variation, o.variations rows each; failed ones are left out."""
-    each = masked.where(F.size("masks") > 0).select("document_id", "template", "masks", F.explode(F.sequence(F.lit(0), F.lit(o.variations - 1))).alias("idx"))
-    user = F.concat_ws("\n", F.lit(0).cast("string"), "template", F.col("idx").cast("string"))
+    """masked (document_id, template, masks; topic_focus and insight_profile, if there are such) with idx and variation,
+    o.variations rows each; failed ones are left out."""
+    context = []
+    if "topic_focus" in masked.columns:
+        masked = parsed(masked, TOPIC, "topic_focus", "_t")
+        context += [T.topic_text(F.col("_t")), T.strip(F.col("insight_profile"))]
+    each = masked.where(F.size("masks") > 0).select("document_id", "template", "masks", F.concat_ws("\n", *context).alias("_context"), F.explode(F.sequence(F.lit(0), F.lit(o.variations - 1))).alias("idx"))
+    user = prompt(F.concat_ws("\n", F.lit(0).cast("string"), "template", F.col("idx").cast("string")), F.col("_context"))
     got = _ask(each, "refill", user, F.concat_ws("#", "document_id", "idx"), backend, o, responses, ["document_id", "template", "masks", "idx"])
-    got = parsed(got.where("error is null"), "map<string,string>", out="fills", fenced=True).where("fills is not null")
+    got = parsed(got.where("error is null"), "map<string,string>", out="fills", stage="refill").where("fills is not null")
     return got.select("document_id", "idx", masking.assembled(F.col("template"), F.col("masks"), F.col("fills")).alias("variation"))
 
 
@@ -98,50 +135,55 @@ def evaluated(variations: DataFrame, docs: DataFrame, backend: Backend, o: Optio
     selection counts as 999."""
     on = ["document_id", "idx"]
     key = F.concat_ws("#", *on)
-    v = variations.join(docs.select("document_id", "text", F.col("inferences").alias("before")), "document_id")
-    attack = parsed(_ask(v, "attack", F.col("variation"), key, backend, o, responses, [*on, "text", "before", "variation"]), INFERENCES, out="after").drop("raw", "error")
-    user = F.concat_ws("\n", F.to_json("before"), F.to_json("after"), F.col("variation"))
-    compared = parsed(_ask(attack, "compare", user, key, backend, o, responses, [*on, "text", "before", "variation"]), VULNERABILITY, out="report")
-    compared = compared.select(*on, "text", "before", "variation", "report", F.col("error").alias("compare_error"))
-    spans = leakage.evidence_spans(compared.select(*on, "before"), "before", least=o.certainty)
+    scope = "scope" if "scope" in docs.columns else A.base_list()
+    v = variations.join(docs.select("document_id", "text", F.col("inferences").alias("before"), F.transform(scope, lambda a: a).alias("scope")), "document_id")
+    rest = [*on, "text", "before", "variation", "scope"]
+    attack = parsed(_ask(v, "attack", prompt(F.col("variation"), T.scope_text(F.col("scope"))), key, backend, o, responses, rest), INFERENCES, out="after").drop("raw", "error")
+    user = prompt(F.col("variation"), F.lit("Before"), T.inference_text(F.col("before")), F.lit("After"), T.inference_text(F.col("after")))
+    compared = parsed(_ask(attack, "compare", user, key, backend, o, responses, rest), VULNERABILITY, out="report")
+    compared = compared.select(*rest, "report", F.col("error").alias("compare_error"))
+    spans = leakage.evidence_spans(compared.select(*on, "before", _keys("scope").alias("_k")), "before", F.col("_k"), o.certainty).drop("_k")
     leaks = leakage.leak_totals(leakage.span_leakage(spans, compared.select(*on, F.col("variation").alias("text")), on), on).select(*on, "total_span_severity", "num_span_leaks")
     spec = parsed(_ask(compared, "specificity", F.col("variation"), key, backend, o, responses, on), DIMENSIONS, out="spec")
     spec = leakage.specificity(spec.select(*on, "spec.too_specific_count", "spec.dimensions").withColumnRenamed("too_specific_count", "claimed"), "claimed", "dimensions").select(*on, "too_specific_count")
     kept = parsed(_ask(compared, "keeper", F.concat_ws("\n", "text", "variation"), key, backend, o, responses, on), VULNERABILITY, out="kept").select(*on, "kept", F.col("error").alias("keeper_error"))
 
-    def field_of(column: str, name: str, keys: list[str]) -> Column:
-        return F.transform(dims.text_array(keys), lambda k: F.get_json_object(F.try_element_at(column, k), f"$.{name}"))
+    def field_of(column: str, name: str, keys: Column) -> Column:
+        return F.transform(keys, lambda k: F.get_json_object(F.try_element_at(column, k), f"$.{name}"))
 
     j = compared.join(leaks, on, "left").join(spec, on, "left").join(kept, on, "left")
-    sev = leakage.total_severity(F.try_element_at("report", F.lit("total_severity")), field_of("report", "severity", [a[0] for a in dims.ATTRIBUTES]), F.col("total_span_severity"))
-    strict = leakage.total_severity_strict(field_of("report", "severity", [a[0] for a in dims.ATTRIBUTES]), F.col("total_span_severity"))
-    loss = leakage.total_loss(F.try_element_at("kept", F.lit("total_loss")), field_of("kept", "loss_severity", list(dims.UTILITY)))
+    sev = leakage.total_severity(F.try_element_at("report", F.lit("total_severity")), field_of("report", "severity", _keys("scope")), F.col("total_span_severity"))
+    strict = leakage.total_severity_strict(field_of("report", "severity", _keys("scope")), F.col("total_span_severity"))
+    loss = leakage.total_loss(F.try_element_at("kept", F.lit("total_loss")), field_of("kept", "loss_severity", dims.text_array(dims.UTILITY)))
     return j.select(
         *on, "variation", F.when(F.col("compare_error").isNull(), sev).alias("severity"), strict.alias("severity_strict"), F.coalesce("num_span_leaks", F.lit(0)).alias("num_span_leaks"),
         F.when(F.col("keeper_error").isNull(), loss).alias("loss"), F.col("too_specific_count").alias("too_specific"),
     )
 
 
-def anonymize(docs: DataFrame, backend: Backend, o: Options = Options(), responses: DataFrame | None = None, cut=None) -> tuple[DataFrame, DataFrame]:
-    """(documents, iterations) of a run over docs (document_id, text): all documents go through each stage together.
+def anonymize(docs: DataFrame, backend: Backend, o: Options = Options(), responses: DataFrame | None = None, cut=None, scopes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, iterations) of a run over docs (document_id, text; one row a document): all documents go through each
+    stage together. scopes (document_id, scope) are the attributes that a document is protected for, by default the base.
 
     A document without masks ends as a success with its own text, score 999 and was_masked false; one without
-    variations keeps its mask tokens wherever the rewrite has no words for them; one whose inference failed is failed.
+    variations keeps its mask tokens wherever the rewrite has no words for them. One whose inference failed is failed, as is
+    one whose rewrite was not compared (more tokens than o.most_tokens, where that is given).
     """
     cut = cut or checkpointed
-    init = cut(initialized(docs, backend, o, responses))
-    conv = converged(init.where("status = 'initialized'").select("document_id", "text"), backend, o, responses, cut)
-    with_spans = conv.join(init.select("document_id", "evidence_spans"), "document_id")
+    init = cut(initialized(docs, backend, o, responses, scopes))
+    conv = converged(init.where("status = 'initialized'").select("document_id", "text", "scope"), backend, o, responses, cut)
+    with_spans = conv.join(init.select("document_id", "evidence_spans", "topic_focus", "insight_profile"), "document_id")
     masked = cut(masking.masked(with_spans, "text", "rewritten", "evidence_spans", o.gap_words, o.most_tokens))
     scored = cut(evaluated(refilled(masked, backend, o, responses), init, backend, o, responses))
     best = selection.best_variation(scored, ["document_id"], o.too_specific_cap)
     chosen = best.join(scored.withColumnRenamed("idx", "best_idx"), ["document_id", "best_idx"], "left")
-    out = init.select("document_id", "text", "evidence_spans", "status").join(masked.select("document_id", "template", "masks", "was_masked"), "document_id", "left").join(chosen, "document_id", "left")
+    out = init.select("document_id", "text", "scope", "evidence_spans", "fingerprints", "status").join(masked.select("document_id", "template", "masks", "was_masked", "skipped"), "document_id", "left").join(chosen, "document_id", "left")
     final = F.when(~F.col("was_masked"), F.col("text")).otherwise(F.coalesce("variation", masking.unrefilled(F.col("template"), F.col("masks"))))
+    failed = (F.col("status") == "failed") | F.coalesce("skipped", F.lit(False))
     documents = out.select(
-        "document_id", F.col("text").alias("original_text"), "evidence_spans", F.when(F.col("status") == "failed", F.lit(None)).otherwise(final).alias("final_text"),
-        F.coalesce(F.col("severity"), F.lit(dims.MISSING_SCORE)).cast("double").alias("final_privacy_score"), F.when(F.col("status") == "failed", "failed").otherwise("success").alias("status"),
-        F.coalesce("was_masked", F.lit(False)).alias("was_masked"),
+        "document_id", F.col("text").alias("original_text"), "evidence_spans", F.when(~failed, final).alias("final_text"),
+        F.coalesce(F.col("severity"), F.lit(dims.MISSING_SCORE)).cast("double").alias("final_privacy_score"), F.when(failed, "failed").otherwise("success").alias("status"),
+        F.coalesce("was_masked", F.lit(False)).alias("was_masked"), "scope", "fingerprints",
     )
     texts = scored.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "variation"))), lambda x: x["variation"]).alias("variations"))
     iterations = masked.join(texts, "document_id", "left").join(best.select("document_id", "best_idx"), "document_id", "left").select(
@@ -151,6 +193,21 @@ def anonymize(docs: DataFrame, backend: Backend, o: Options = Options(), respons
     return documents, iterations
 
 
+def expanded(docs: DataFrame, candidates: DataFrame, backend: Backend, o: Options = Options(), responses: DataFrame | None = None, probe=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, iterations, scopes) of a run whose documents are protected for the attributes that a model finds in their
+    re-identification candidates (document_id, candidates), as o.scope says: besides the base, or only for these; a run for
+    the base only asks for none. With probe and o.feedback_rounds, feedback() follows."""
+    if o.scope is Scope.BASE_ONLY:
+        scopes = docs.select("document_id", F.array().cast(A.LIST).alias("found"), A.base_list().alias("scope"))
+    else:
+        scopes = stored(dynamic_scopes(docs, candidates, backend, o, responses), "scopes")
+    documents, iterations = anonymize(docs, backend, o, responses, scopes=scopes)
+    if probe is not None and o.feedback_rounds:
+        again = lambda d, more: anonymize(d.select("document_id", F.col("original_text").alias("text")), backend, o, responses, scopes=more)[0]
+        documents = feedback(stored(documents, "documents"), probe, scopes, backend, o, again)
+    return documents, iterations, scopes
+
+
 def dynamic_scopes(docs: DataFrame, candidates: DataFrame, backend: Backend, o: Options = Options(), responses: DataFrame | None = None) -> DataFrame:
     """document_id, found, scope: attributes that a model proposes from a document's candidates (an array), less those
     in the base, capped; and the document's attributes with them. A failed call proposes none."""
@@ -200,12 +257,12 @@ def reid_compare(rows: DataFrame, reference: str, backend: Backend = ReplayBacke
     on = ["transcript_id", "label"]
     ranked = selection.rank_candidates(each, on, most).withColumn("descriptions", facts.descriptions(F.col("names"), F.col("identity_label")))
     many = ranked.where(F.size("descriptions") > 1)
-    united = parsed(_ask(many, "merge_descriptions", F.array_join("descriptions", "\n"), F.concat_ws("#", *on, "candidate_index"), backend, o, responses, [*on, "candidate_index", "descriptions"]), "unified_description string", out="u")
+    united = parsed(_ask(many, "merge_descriptions", F.array_join("descriptions", "\n"), F.concat_ws("#", *on, "candidate_index"), backend, o, responses, [*on, "candidate_index", "descriptions"]), "unified_description string", out="u", stage="merge_descriptions")
     longest = lambda d: F.reduce(d, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
     united = united.select(*on, "candidate_index", F.coalesce(F.nullif(T.normalize(F.col("u.unified_description")), F.lit("")), longest(F.col("descriptions"))).alias("description"))
     described = ranked.join(united, [*on, "candidate_index"], "left").withColumn("description", F.coalesce("description", F.get("descriptions", 0), F.lit("")))
     conf = described.groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct("candidate_index", "confidence"))).alias("conf"), F.to_json(F.array_sort(F.collect_list(F.struct("candidate_index", "confidence", "description")))).alias("user"))
-    raw = parsed(_ask(conf, "extract_facts", F.col("user"), F.concat_ws("#", *on), backend, o, responses, [*on, "conf"]), "map<string,array<struct<fact:string,supporting_candidates:array<string>,source_fields:array<string>>>>", out="p")
+    raw = parsed(_ask(conf, "extract_facts", F.col("user"), F.concat_ws("#", *on), backend, o, responses, [*on, "conf"]), "map<string,array<struct<fact:string,supporting_candidates:array<string>,source_fields:array<string>>>>", out="p", stage="extract_facts")
     found = raw.select(*on, "conf", F.explode("p").alias("attribute_key", "items")).select(*on, "conf", "attribute_key", F.posexplode("items").alias("pos", "f"))
     found = found.where(F.col("attribute_key").isin([a[0] for a in dims.ATTRIBUTES])).select(
         *on, "attribute_key", F.col("pos").cast("long").alias("pos"), F.col("f.fact").alias("fact"), facts.candidate_indices(F.coalesce("f.supporting_candidates", dims.text_array(())), F.map_keys("conf")).alias("supporting_candidates"),
@@ -234,12 +291,12 @@ def reference_profiles(texts: DataFrame, backend: Backend, o: Options = Options(
     each = texts.select("transcript_id", "text", F.explode(keys).alias("attribute_key"))
     on = ["transcript_id", "attribute_key"]
     key = F.concat_ws("#", *on)
-    s = parsed(_ask(each, "attribute_summary", F.concat_ws("\n", "attribute_key", "text"), key, backend, o, responses, [*on, "text"]), "supported boolean, summary_description string, evidence_quote string", out="s")
+    s = parsed(_ask(each, "attribute_summary", F.concat_ws("\n", "attribute_key", "text"), key, backend, o, responses, [*on, "text"]), "supported boolean, summary_description string, evidence_quote string", out="s", stage="attribute_summary")
     s = s.select(*on, F.coalesce("s.supported", F.lit(False)).alias("supported"), T.normalize(F.col("s.summary_description")).alias("summary"), F.when(T.quote_supported(F.col("text"), F.col("s.evidence_quote")), F.col("s.evidence_quote")).otherwise("").alias("evidence_quote"))
     s = s.where("supported and summary <> ''")
-    clean = parsed(_ask(s, "summary_sanity", F.concat_ws("\n", "attribute_key", "summary"), key, backend, o, responses, [*on, "summary", "evidence_quote"]), "summary_description string", out="c")
+    clean = parsed(_ask(s, "summary_sanity", F.concat_ws("\n", "attribute_key", "summary"), key, backend, o, responses, [*on, "summary", "evidence_quote"]), "summary_description string", out="c", stage="summary_sanity")
     clean = clean.select(*on, "evidence_quote", F.coalesce(F.nullif(T.normalize(F.col("c.summary_description")), F.lit("")), "summary").alias("summary_description"))
-    f = parsed(_ask(clean, "summary_facts", F.concat_ws("\n", "attribute_key", "summary_description"), key, backend, o, responses, [*on, "summary_description"]), "facts array<string>", out="f")
+    f = parsed(_ask(clean, "summary_facts", F.concat_ws("\n", "attribute_key", "summary_description"), key, backend, o, responses, [*on, "summary_description"]), "facts array<string>", out="f", stage="summary_facts")
     f = f.select(*on, F.posexplode("f.facts").alias("pos", "fact"))
     f = facts.expand(f, "attribute_key", "fact").withColumn("pos", F.col("pos").cast("long") * 64 + F.col("part")).drop("part")
     first = facts.merge_by_key(f, on)
@@ -248,25 +305,29 @@ def reference_profiles(texts: DataFrame, backend: Backend, o: Options = Options(
     order = dims.attributes(texts.sparkSession).select(F.col("key").alias("attribute_key"), F.col("pos").alias("attribute_pos"))
     ided = facts.numbered(kept.join(F.broadcast(order), "attribute_key"), ["transcript_id"], "attribute_key", ["rank"]).withColumn("pos", F.col("attribute_pos") * 10_000 + F.col("rank"))
     user = ided.groupBy("transcript_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("pos", "fact_id", "attribute_key", "fact")))).alias("user"))
-    p = parsed(_ask(user, "merge_facts", F.col("user"), F.col("transcript_id"), backend, o, responses, ["transcript_id"]), "merged_facts array<struct<primary_attribute_key:string,fact:string,source_fact_ids:array<string>>>", out="m")
+    p = parsed(_ask(user, "merge_facts", F.col("user"), F.col("transcript_id"), backend, o, responses, ["transcript_id"]), "merged_facts array<struct<primary_attribute_key:string,fact:string,source_fact_ids:array<string>>>", out="m", stage="merge_facts")
     p = p.select("transcript_id", F.posexplode("m.merged_facts").alias("group_pos", "g")).select("transcript_id", "group_pos", "g.source_fact_ids", F.col("g.primary_attribute_key").alias("attribute_key"), "g.fact")
     return facts.merge_groups(ided.select("transcript_id", "fact_id", "attribute_key", "fact", "pos"), p, ["transcript_id"])
 
 
-def judged(items: DataFrame, stage: str, backend: Backend, o: Options = Options(), responses: DataFrame | None = None, extra: list[str] = ()) -> DataFrame:
-    """items (transcript_id, config, fact, text, item_id) with decision, evidence_quote, reasoning, error."""
-    cols = [c for c in items.columns]
-    user = F.concat_ws("\n", "fact", *extra, "text")
-    got = parsed(_ask(items, stage, user, F.concat_ws("#", "transcript_id", "config", "item_id"), backend, o, responses, cols), "decision string, reasoning string, evidence_quote string", out="j")
+def judged(items: DataFrame, texts: DataFrame, stage: str, backend: Backend, o: Options = Options(), responses: DataFrame | None = None, extra: list[str] = ()) -> DataFrame:
+    """items (transcript_id, config, item_id, fact) with decision, evidence_quote, reasoning, error. Each is one request with
+    its configuration's whole text. texts (config, transcript_id, text) are joined where a request is made and where its
+    quote is looked up; what is shuffled in between are answers, never a text for each item."""
+    on = ["config", "transcript_id"]
+    user = prompt(F.col("text"), F.col("fact"), *map(F.col, extra))
+    j = items.join(texts.select(*on, "text"), on)
+    got = _ask(j, stage, user, F.concat_ws("#", "transcript_id", "config", "item_id"), backend, o, responses, items.columns)
+    got = parsed(got, "decision string, reasoning string, evidence_quote string", out="j", stage=stage).join(texts.select(*on, "text"), on)
     d = recover.decision(F.col("j.decision"), F.col("j.evidence_quote"), F.col("text"))
-    return got.select(*[c for c in cols if c != "text"], F.when(F.col("error").isNull(), d).otherwise(dims.DECISIONS["unsure"]).alias("decision"), F.col("j.evidence_quote").alias("evidence_quote"), F.col("j.reasoning").alias("reasoning"), "error")
+    return got.select(*items.columns, F.when(F.col("error").isNull(), d).otherwise(dims.DECISIONS["unsure"]).alias("decision"), F.col("j.evidence_quote").alias("evidence_quote"), F.col("j.reasoning").alias("reasoning"), "error")
 
 
 def profile_recoverability(facts_: DataFrame, texts: DataFrame, backend: Backend, o: Options = Options(), responses: DataFrame | None = None) -> dict[str, DataFrame]:
     """items, by_attribute, by_sample, by_config: whether facts (transcript_id, fact_id, attribute_key, fact) can be
     recovered from the configurations' texts (config, transcript_id, text)."""
     each = recover.fact_configs(facts_.withColumnRenamed("fact_id", "item_id"), texts.select("config", "transcript_id", "text"))
-    items = judged(each.select("transcript_id", "config", "item_id", "attribute_key", "fact", "text"), "judge_fact", backend, o, responses)
+    items = stored(judged(each.select("transcript_id", "config", "item_id", "attribute_key", "fact"), texts, "judge_fact", backend, o, responses), "items")
     dim = dims.attributes(facts_.sparkSession)
     return {
         "items": items, "by_attribute": recover.by_attribute(items, ["config"], dim), "by_sample": recover.overall(items, ["config", "transcript_id"]),
@@ -279,8 +340,8 @@ def code_fact_recoverability(facts_: DataFrame, texts: DataFrame, backend: Backe
     flat = facts_.select("transcript_id", F.posexplode("facts").alias("item_id", "f")).select("transcript_id", "item_id", "f.*")
     flat = flat.withColumn("code_id", recover.known_code(F.col("code_id"))).withColumn("category_id", recover.known_code(F.col("category_id")))
     each = recover.fact_configs(flat, texts.select("config", "transcript_id", "text"))
-    cols = ["transcript_id", "config", "item_id", "code_id", "category_id", "code_label", "category_label", "code_definition", "fact", "text"]
-    items = judged(each.select(*cols), "judge_code_fact", backend, o, responses, extra=["code_label", "code_definition"])
+    cols = ["transcript_id", "config", "item_id", "code_id", "category_id", "code_label", "category_label", "code_definition", "fact"]
+    items = stored(judged(each.select(*cols), texts, "judge_code_fact", backend, o, responses, extra=["code_label", "code_definition"]), "items")
     cubed = recover.cube(items, [["config"], ["config", "code_id"], ["config", "category_id"], ["code_id"]], "transcript_id")
     return {"items": items, "cube": cubed, "by_code": recover.code_overview(cubed), "labels": recover.code_labels(items, "code_id", "code_label", "item_id")}
 

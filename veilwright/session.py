@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -43,6 +44,22 @@ def exchange_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/veilwright/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, computed once however often it is read. It goes when the driver's Python ends."""
+    spark, path = df.sparkSession, exchange_path(df.sparkSession, name)
+    df.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  the session may have ended; the folder is then left to its owner
+        pass
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut by files in the shared folder."""
     sc = df.sparkSession.sparkContext
