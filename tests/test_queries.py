@@ -4,10 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from veilwright import queries
+from veilwright import dims, queries
 
 DIR = "/root/testdata/sf0.001"
-SLOW = {"anonymize_rules"}
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +32,7 @@ def test_against_sql(spark, con, name):
     assert sorted(map(plain, got.select(*cols).collect()), key=key) == sorted(map(plain, want.project(", ".join(cols)).fetchall()), key=key)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE)))
 def test_rows(spark, name):
     assert entry.queries()[name](spark, DIR).count() > 0
 
@@ -48,3 +47,17 @@ def test_profile_recoverability_takes_every_document(spark):
     want = {r.lang: r.n for r in docs.groupBy("lang").agg(F.countDistinct("doc_id").alias("n")).collect()}
     got = {r.config: r.sample_count for r in entry.queries()["profile_recoverability"](spark, DIR).collect()}
     assert got == want
+
+
+def test_fuzzy_attribute_is_the_sequence_matcher(spark):
+    from difflib import SequenceMatcher
+
+    bare = lambda x: "".join(c for c in x.lower() if c.isalnum())
+    names = {r.p_partkey: r.p_name for r in spark.read.parquet(f"{DIR}/part.parquet").collect()}
+    every = [(a[0], bare(x)) for a in dims.ATTRIBUTES for x in (a[0], a[1], a[2], a[3], *a[6])]
+    rows = entry.queries()["fuzzy_attribute"](spark, DIR).collect()
+    assert len(rows) == len(names)
+    for r in rows:
+        assert abs(r.ratio - SequenceMatcher(None, bare(r.label), bare(names[r.p_partkey])).ratio()) < 1e-12
+        score = {k: max(SequenceMatcher(None, bare(r.label), x).ratio() for y, x in every if y == k) for k, _ in every}
+        assert r.attribute_key is None and max(score.values()) < 0.62 or score[r.attribute_key] == max(score.values()) >= 0.62

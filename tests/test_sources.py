@@ -127,3 +127,15 @@ def test_store(spark, tmp_path):
 def test_conversations(spark):
     df = spark.createDataFrame([(1, 2, "assistant", "b"), (1, 1, "user", "a"), (2, 1, None, None)], "conv_id long, turn long, role string, text string")
     assert sorted((r.transcript_id, r.text) for r in readers.conversations_as_transcripts(df).select(F.col("transcript_id"), "text").collect()) == [(1, "user: a\nassistant: b"), (2, ": ")]
+
+
+def test_reference_profiles_must_be_there(spark, tmp_path):
+    f = spark.createDataFrame([("a", "AGE_01", "AGE", "old", 2), ("a", "SEX_01", "SEX", "male", 1), ("b", "AGE_01", "AGE", "young", 1)], "transcript_id string, fact_id string, attribute_key string, fact string, sort_index int")
+    path = f"file://{tmp_path}/profiles"
+    sinks.write_profiles(f, path, f.select("transcript_id", "fact"))
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "transcript_id string")
+    got = readers.reference_profiles(spark, path, ids("a")).collect()
+    assert len(got) == 1 and [x.fact for x in got[0].completed_profile] == ["male", "old"] and got[0].nonempty_attributes == 2
+    assert spark.read.parquet(f"{path}/reference_summaries").count() == 3
+    with pytest.raises(ValueError, match="c"):
+        readers.reference_profiles(spark, path, ids("a", "c"))

@@ -113,6 +113,9 @@ class RuleBackend:
             fact = context.partition("\n")[0]
             found = bool(fact) and fact.lower() in user.lower()
             return json.dumps({"decision": dims.DECISIONS["yes" if found else "no"], "reasoning": "", "evidence_quote": fact if found else ""})
+        if stage == "expand_attributes":
+            labels = dict.fromkeys(c.get("identity_label", "") for c in json.loads(user.rpartition("\n")[2] or "[]"))
+            return json.dumps({"attributes": [{"key": x, "display_name": x, "target_str": x} for x in labels if x]})
         if stage == "round_inference":
             return "\n".join(f"Type: {a[1]}\nInference: none\nGuess: a; b; c\nCertainty: 1" for a in dims.ATTRIBUTES)
         return "{}"

@@ -129,7 +129,56 @@ def shared_ids(spark, d):
 
 @query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
 def status_counts(spark, d):
-    return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    s = store.Store(spark, exchange_path(spark, "status"))
+    s.upsert(table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("document_id"), F.col("o_orderstatus").alias("status")))
+    return s.status_counts().withColumnRenamed("count", "n")
+
+
+@query("""
+    SELECT o_orderkey::VARCHAR AS document_id, CASE WHEN o_orderkey % 3 = 0 THEN 'success' ELSE o_orderstatus END AS status, o_orderstatus AS original_text, coalesce(n, 0) AS n_iterations, template AS last_template
+    FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, max({'n': l_linenumber, 't': 'part ' || l_partkey}).t AS template FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON o_orderkey = l_orderkey""")
+def store_round_trip(spark, d):
+    s = store.Store(spark, exchange_path(spark, "store"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("document_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderstatus").alias("original_text"))
+    s.upsert(orders)
+    s.upsert(orders.where("document_id % 3 = 0").select("document_id", F.lit("success").alias("status"), F.lit(None).cast("string").alias("original_text")))
+    li = table(spark, d, "lineitem").where("l_returnflag = 'R'")
+    for odd in (0, 1):
+        s.append_iterations(li.where(F.col("l_linenumber") % 2 == odd).select(F.col("l_orderkey").cast("string").alias("document_id"), F.col("l_linenumber").alias("iteration_num"), F.concat(F.lit("part "), "l_partkey").alias("template_text")))
+    last = s.iterations().groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("iteration_num", "template_text"))["template_text"].alias("last_template"))
+    return s.documents().join(last, "document_id", "left").select("document_id", "status", "original_text", F.coalesce("n", F.lit(0)).alias("n_iterations"), "last_template")
+
+
+@query("SELECT doc_id::VARCHAR AS transcript_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE '' END AS text FROM documents")
+def rewritten_texts(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("transcript_id"), F.col("doc_id").alias("pos"), "text")
+    return sinks.rewritten(docs.drop("text"), docs.where("pos % 3 = 0"))
+
+
+@query("""
+    SELECT o_orderkey AS transcript_id, o_orderstatus AS status, o_totalprice AS final_privacy_score, o_orderpriority AS final_text, coalesce(n, 0) AS iteration_count
+    FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON o_orderkey = l_orderkey""")
+def document_samples(spark, d):
+    docs = table(spark, d, "orders").select(F.col("o_orderkey").alias("document_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("final_privacy_score"), F.col("o_orderpriority").alias("final_text"))
+    return sinks.samples(docs, table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("document_id")))
+
+
+@query("SELECT o_orderkey::VARCHAR AS transcript_id, CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority ELSE '' END AS text FROM orders WHERE o_orderstatus = 'F'")
+def aggregated_outputs(spark, d):
+    o = table(spark, d, "orders")
+    inputs = o.select(F.concat(F.lit(" "), F.col("o_orderkey").cast("string")).alias("transcript_id"), F.col("o_orderkey").alias("pos"))
+    outputs = o.select(F.col("o_orderkey").cast("string").alias("transcript_id"), F.when(F.col("o_orderstatus") == "F", "success").otherwise("failed").alias("status"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderpriority")).alias("final_text"))
+    return sinks.aggregate(inputs, outputs)
+
+
+@query("SELECT doc_id AS pos, doc_id::VARCHAR AS transcript_id, text FROM documents ORDER BY length(text), doc_id LIMIT 1")
+def shortest_document(spark, d):
+    return selection.pick_row(table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("transcript_id"), "text"), "shortest")
+
+
+@query("SELECT c_nationkey, min(c_custkey) AS pos, arg_min(c_name, c_custkey) AS c_name FROM customer GROUP BY c_nationkey")
+def first_of_each(spark, d):
+    return selection.first_wins(table(spark, d, "customer").select("c_nationkey", "c_name", F.col("c_custkey").alias("pos")), F.col("c_nationkey"))
 
 
 def _inferences(docs: DataFrame) -> DataFrame:
@@ -308,6 +357,37 @@ def reidentified_docs(spark, d):
     return selection.reidentified(_candidates(spark, d), ["user_id"])
 
 
+def _per_user(spark, d) -> DataFrame:
+    c = _candidates(spark, d).select("user_id", F.struct("pos", "interviewee_candidates", "identity_label", "confidence", F.col("confidence").alias("matches_description"), F.lit("").alias("mismatches_description")).alias("c"))
+    return c.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list("c")), lambda x: x.dropFields("pos")).alias("candidates"))
+
+
+@query(f"""
+    WITH c AS ({_CANDIDATES}), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS rn FROM c), e AS (SELECT user_id, rn, CASE confidence WHEN 'very high' THEN 'very high' WHEN 'high' THEN 'HIGH' WHEN 'low' THEN 'Low' ELSE confidence END || '/' || label || '/' || n_names AS x FROM r WHERE rn <= 3)
+    SELECT user_id, string_agg(x, '; ' ORDER BY rn) AS evidence FROM e GROUP BY user_id""")
+def prompt_evidence(spark, d):
+    e = selection.evidence_for_prompt(F.col("candidates"))
+    return _per_user(spark, d).select("user_id", F.array_join(F.transform(e, lambda c: F.concat_ws("/", c["confidence"], c["identity_label"], F.size(c["interviewee_candidates"]).cast("string"))), "; ").alias("evidence"))
+
+
+@query(f"""
+    WITH c AS ({_CANDIDATES}), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS rn FROM c),
+    k AS (SELECT user_id, substr(trim(regexp_replace(upper(label), '[^A-Z0-9]+', '_', 'g'), '_'), 1, 16) AS key, min(rn) AS rn FROM r WHERE rn <= 3 AND label <> '' GROUP BY 1, 2)
+    SELECT user_id::VARCHAR AS document_id, coalesce(string_agg(key, ' ' ORDER BY k.rn), '') AS found, (8 + count(key))::INTEGER AS n_scope FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN k USING (user_id) GROUP BY user_id""")
+def dynamic_scopes(spark, d):
+    c = _per_user(spark, d).select(F.col("user_id").cast("string").alias("document_id"), "candidates")
+    s = workflows.dynamic_scopes(c.select("document_id", F.lit("text").alias("text")), c, models.RuleBackend())
+    return s.select("document_id", F.array_join(F.transform("found", lambda a: a["key"]), " ").alias("found"), F.size("scope").alias("n_scope"))
+
+
+@query(f"""
+    WITH e AS (SELECT user_id, event_id, lower({_norm(_CONF)}) AS c FROM events), f AS (SELECT user_id, c, min(event_id) AS pos FROM e GROUP BY 1, 2)
+    SELECT user_id, string_agg(c, '; ' ORDER BY coalesce(list_position({_list(dims.CONFIDENCE)}, c), 0) DESC, pos) AS confidences FROM f GROUP BY user_id""")
+def confidence_order(spark, d):
+    e = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", _confidence().alias("c")))), lambda x: x["c"]).alias("c"))
+    return e.select("user_id", F.array_join(facts.confidences(F.col("c")), "; ").alias("confidences"))
+
+
 def _attribute_lists(spark, d) -> DataFrame:
     p = table(spark, d, "part")
     a = F.struct(
@@ -317,21 +397,36 @@ def _attribute_lists(spark, d) -> DataFrame:
     return p.groupBy("p_brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", a.alias("a")))), lambda x: x["a"]).cast(A.LIST).alias("raw"))
 
 
-@query("SELECT p_brand, least(count(*), 12 - 8) AS n_kept FROM part GROUP BY p_brand")
+_RAW = f"""
+    raw AS (SELECT p_brand, p_partkey, substr(trim(regexp_replace(upper({_strip("p_type")}), '[^A-Z0-9]+', '_', 'g'), '_'), 1, 16) AS k, p_brand || ' ' || p_size AS n, {_norm("p_name")} AS t FROM part),
+    once AS (SELECT *, row_number() OVER (PARTITION BY p_brand, k ORDER BY p_partkey) AS rn FROM raw WHERE k <> '' AND t <> ''),
+    base AS (SELECT [{", ".join(f"{{'k': '{x[0]}', 'n': '{x[2]}', 't': '{x[3]}'}}" for x in dims.ATTRIBUTES)}] AS b)"""
+_FOLD = """list_reduce(list_prepend(b, list([{'k': k, 'n': n, 't': t}] ORDER BY ORDERING)),
+    lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: upper(y.k) = upper(x[1].k) OR lower(y.n) = lower(x[1].n) OR lower(y.t) = lower(x[1].t))) > 0 THEN acc ELSE list_concat(acc, x) END)"""
+
+
+@query("SELECT p_brand, string_agg(p_type, '; ' ORDER BY p_partkey) AS kept FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part) WHERE rn <= 12 - 8 GROUP BY p_brand")
 def attribute_cap(spark, d):
-    return _attribute_lists(spark, d).select("p_brand", F.size(A.capped(F.col("raw"), A.base_list(), 12)).cast("long").alias("n_kept"))
+    kept = A.capped(F.col("raw"), A.base_list(), 12)
+    return _attribute_lists(spark, d).select("p_brand", F.array_join(F.transform(kept, lambda a: a["key"]), "; ").alias("kept"))
 
 
-@query()
+@query(f"""
+    WITH {_RAW}, f AS (SELECT p_brand, {_FOLD.replace("ORDERING", "p_partkey")} AS s FROM once, base WHERE rn = 1 GROUP BY p_brand, b)
+    SELECT p_brand, len(s)::INTEGER AS n_scope, array_to_string(list_transform(s, lambda x: x.k), ' ') AS keys, array_to_string(list_transform(s[9:12], lambda x: x.n || '/' || x.t || '/' || x.k), ' ') AS aliases FROM f""")
 def attribute_merge(spark, d):
     found = _attribute_lists(spark, d).withColumn("found", A.coerce_all(F.col("raw")))
     scoped = found.select("p_brand", A.scope(A.base_list(), F.col("found")).alias("scope"), A.added(A.base_list(), F.col("found"), 4).alias("new"))
-    return scoped.select("p_brand", F.size("scope").alias("n_scope"), F.transform("scope", lambda a: a["key"]).alias("keys"), F.transform("new", A.aliases).alias("aliases"))
+    aliases = F.array_join(F.transform("new", lambda a: F.array_join(A.aliases(a), "/")), " ")
+    return scoped.select("p_brand", F.size("scope").alias("n_scope"), F.array_join(F.transform("scope", lambda a: a["key"]), " ").alias("keys"), aliases.alias("aliases"))
 
 
-@query()
+@query(f"""
+    WITH {_RAW}, f AS (SELECT {_FOLD.replace("ORDERING", "p_brand, p_partkey")} AS s FROM once, base WHERE rn = 1 GROUP BY b)
+    SELECT 8 AS base_count, (len(s) - 8)::INTEGER AS new_count, len(s)::INTEGER AS total_count, array_to_string(list_transform(s, lambda x: x.k || '=' || x.n), '; ') AS attributes FROM f""")
 def attribute_export(spark, d):
-    return A.export(_attribute_lists(spark, d).select("p_brand", A.coerce_all(F.col("raw")).alias("found")), "p_brand", "found")
+    e = A.export(_attribute_lists(spark, d).select("p_brand", A.coerce_all(F.col("raw")).alias("found")), "p_brand", "found")
+    return e.withColumn("attributes", F.array_join(F.transform("attributes", lambda a: F.concat(a["key"], F.lit("="), a["display_name"])), "; "))
 
 
 _LEMMA = "CASE t " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in dims.FACT_LEMMAS.items()) + " ELSE t END"
@@ -358,13 +453,64 @@ def fact_overlap_pairs(spark, d):
     return facts.overlap_pairs(table(spark, d, "part").select("p_brand", F.col("p_partkey").alias("idx"), F.col("p_name").alias("fact")), ["p_brand"])
 
 
-@query()
+def _overlap(a: str, b: str) -> str:
+    return f"len({a}) > 0 AND len({b}) > 0 AND len(list_intersect({a}, {b})) = least(len({a}), len({b}))"
+
+
+@query(f"""
+    WITH p AS (SELECT p_brand, p_name, p_partkey AS pos, p_size, p_type, round(p_size % 5 / 5, 3) AS w, {_core("p_name")} AS core, length({_norm("p_name")}) AS len FROM part),
+    l AS (SELECT p_brand, list([{{'pos': pos, 'core': core, 'with': [pos]}}] ORDER BY len(core) DESC, len DESC, pos) AS l FROM p GROUP BY p_brand),
+    f AS (SELECT p_brand, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: {_overlap("k.core", "x[1].core")})) = 0 THEN list_concat(acc, x)
+        ELSE list_transform(acc, lambda k: CASE WHEN k.pos = list_filter(acc, lambda m: {_overlap("m.core", "x[1].core")})[1].pos THEN {{'pos': k.pos, 'core': k.core, 'with': list_concat(k.with, x[1].with)}} ELSE k END) END)) AS k FROM l),
+    m AS (SELECT f.p_brand, k.pos AS pos, count(*) AS n, max(w) AS w, string_agg(DISTINCT p_size::VARCHAR, ' ' ORDER BY p_size::VARCHAR) AS sizes, string_agg(DISTINCT p_type, '; ' ORDER BY p_type) AS fields FROM f JOIN p ON f.p_brand = p.p_brand AND list_contains(k.with, p.pos) GROUP BY 1, 2)
+    SELECT m.p_brand, p_name AS fact, m.pos, n::INTEGER AS n, round(m.w, 3) AS confidence_weight, sizes AS supporting_candidates, fields AS source_fields, row_number() OVER (PARTITION BY m.p_brand ORDER BY m.w DESC, lower(p_name), m.pos)::INTEGER AS rank
+    FROM m JOIN p ON m.p_brand = p.p_brand AND m.pos = p.pos""")
 def fact_dedupe(spark, d):
     p = table(spark, d, "part").select(
         "p_brand", "p_size", F.col("p_name").alias("fact"), F.col("p_partkey").alias("pos"), F.array(F.col("p_size")).alias("supporting_candidates"), F.array(F.col("p_type")).alias("source_fields"),
         F.array(F.lit("low")).alias("confidences"), F.round(F.col("p_size") % 5 / 5, 3).alias("confidence_weight"),
     )
-    return facts.dedupe_overlapping(p.drop("p_size"), ["p_brand"])
+    out = facts.dedupe_overlapping(p.drop("p_size"), ["p_brand"]).drop("confidences")
+    sizes = F.array_join(F.array_sort(F.col("supporting_candidates").cast("array<string>")), " ")
+    return out.withColumn("supporting_candidates", sizes).withColumn("source_fields", F.array_join("source_fields", "; "))
+
+
+_GROUPS = f"""g AS (SELECT p_brand, p_size, p_partkey AS pos, p_name, {_core("p_name")} AS core, ({_list(KEYS)})[(p_partkey % 8 + 1)::INTEGER] AS attribute_key, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i FROM part),
+    bad AS (SELECT DISTINCT a.p_brand, a.p_size FROM g a JOIN g b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.pos < b.pos WHERE NOT ({_overlap("a.core", "b.core")}))"""
+
+
+@query(f"WITH {_GROUPS} SELECT DISTINCT g.p_brand, g.p_size, bad.p_size IS NULL AS valid FROM g LEFT JOIN bad ON g.p_brand = bad.p_brand AND g.p_size = bad.p_size")
+def valid_groups(spark, d):
+    g = table(spark, d, "part").groupBy("p_brand", "p_size").agg(F.collect_list("p_name").alias("facts"))
+    return g.select("p_brand", "p_size", facts.group_is_valid(F.col("facts")).alias("valid"))
+
+
+@query(f"""
+    WITH {_GROUPS}, t AS (SELECT g.*, bad.p_size IS NULL AS valid FROM g LEFT JOIN bad ON g.p_brand = bad.p_brand AND g.p_size = bad.p_size),
+    m AS (SELECT p_brand, 'merged ' || p_size AS fact, arg_min(attribute_key, i) AS attribute_key, min(i) AS sort_index, count(*) AS n_ids FROM t WHERE valid GROUP BY p_brand, p_size
+        UNION ALL SELECT p_brand, p_name, attribute_key, i, 1 FROM t WHERE NOT valid)
+    SELECT p_brand, fact, attribute_key, sort_index::INTEGER AS sort_index, n_ids::INTEGER AS n_ids, attribute_key || '_' || lpad(rn::VARCHAR, greatest(2, length(rn::VARCHAR))::INTEGER, '0') AS fact_id
+    FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, attribute_key ORDER BY sort_index, attribute_key, lower(fact), fact) AS rn FROM m)""")
+def merged_groups(spark, d):
+    p = table(spark, d, "part").select("p_brand", "p_size", F.col("p_partkey").alias("pos"), F.col("p_name").alias("fact"), F.element_at(dims.text_array(KEYS), (F.col("p_partkey") % 8 + 1).cast("int")).alias("attribute_key"))
+    p = facts.numbered(p, ["p_brand"], "attribute_key", ["pos"])
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "fact_id"))), lambda x: x["fact_id"])
+    asked = p.groupBy("p_brand", F.col("p_size").alias("group_pos")).agg(ids.alias("source_fact_ids")).select("*", F.lit(None).cast("string").alias("attribute_key"), F.concat(F.lit("merged "), "group_pos").alias("fact"))
+    out = facts.merge_groups(p.drop("p_size"), asked, ["p_brand"])
+    return out.select("p_brand", "fact", "attribute_key", "sort_index", F.size("fact_ids").alias("n_ids"), "fact_id")
+
+
+@query(f"""
+    WITH f AS (SELECT p_brand AS transcript_id, ({_list(KEYS)})[(p_partkey % 8 + 1)::INTEGER] AS attribute_key, p_name AS fact, p_partkey AS i FROM part), a AS (SELECT transcript_id, attribute_key, count(*) AS n, string_agg(fact, '; ' ORDER BY i) AS facts FROM f GROUP BY 1, 2)
+    SELECT transcript_id, attribute_key, n::INTEGER AS count, facts, sum(n) OVER (PARTITION BY transcript_id)::BIGINT AS total_atomic_facts, count(*) OVER (PARTITION BY transcript_id) AS nonempty_attributes FROM a""")
+def profile_round_trip(spark, d):
+    p = table(spark, d, "part")
+    f = p.select(F.col("p_brand").alias("transcript_id"), F.element_at(dims.text_array(KEYS), (F.col("p_partkey") % 8 + 1).cast("int")).alias("attribute_key"), F.col("p_name").alias("fact"), F.col("p_partkey").alias("sort_index"), F.col("p_partkey").cast("string").alias("fact_id"))
+    path = exchange_path(spark, "profiles")
+    sinks.write_profiles(f, path, f.select("transcript_id", "attribute_key"))
+    got = readers.reference_profiles(spark, path, p.select(F.col("p_brand").alias("transcript_id")))
+    each = got.select("transcript_id", "total_atomic_facts", "nonempty_attributes", F.explode("attributes").alias("a"))
+    return each.select("transcript_id", "a.attribute_key", "a.count", F.array_join(F.transform("a.facts", lambda x: x["fact"]), "; ").alias("facts"), "total_atomic_facts", "nonempty_attributes")
 
 
 @query(f"""
@@ -549,21 +695,31 @@ def answer_parts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.rewritten_part(raw, F.lit("none"))).alias("rewritten"), F.md5(T.without_thoughts(thought)).alias("answer"))
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '\S+')) > 1500 AS skipped, true AS restored FROM documents")
-def mask_roundtrip(spark, d):
+def _diffed(spark, d) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text", F.regexp_replace("text", LONG, "thing").alias("rewritten"))
-    m = masking.mask_changes(docs, "text", "rewritten")
-    return m.select("doc_id", "skipped", (masking.restored(F.col("template"), F.col("masks")) == F.col("text")).alias("restored"))
+    return docs.withColumn("m", udfs.diff_to_masks(F.col("text"), F.col("rewritten")))
 
 
-@query()
+@query("SELECT doc_id, md5(text) AS restored, false AS skipped FROM documents")
+def mask_roundtrip(spark, d):
+    return _diffed(spark, d).select("doc_id", F.md5(masking.restored(F.col("m.template"), F.col("m.masks"))).alias("restored"), "m.skipped")
+
+
+@query(f"SELECT doc_id, regexp_matches(text, '{LONG}') AS masked, true AS in_place, true AS apart, 0 AS left_over FROM documents")
 def mask_diff(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text", F.regexp_replace("text", LONG, "thing").alias("rewritten"))
-    m = masking.mask_changes(docs, "text", "rewritten", most_tokens=None)
-    return m.select("doc_id", F.size("masks").alias("n_masks"), T.residual_masks(F.col("template")).alias("n_tokens"), "skipped")
+    """Masks stand where they say and apart from each other, and no word that was rewritten is left outside of them."""
+    m = _diffed(spark, d)
+    in_place = F.forall("m.masks", lambda x: F.substring(F.col("text"), x["start"] + 1, x["end"] - x["start"]) == x["original"])
+    apart = F.forall(F.transform("m.masks", lambda x, i: x["start"] > F.coalesce(F.get("m.masks", i - 1)["end"], F.lit(-1))), lambda x: x)
+    return m.select("doc_id", (F.size("m.masks") > 0).alias("masked"), in_place.alias("in_place"), apart.alias("apart"), F.regexp_count("m.template", F.lit(LONG)).alias("left_over"))
 
 
-@query()
+@query(f"""
+    WITH spans AS ({_SPANS}), s AS (SELECT doc_id, arg_min(span, pos) AS span, min(pos) AS pos FROM spans WHERE length(span) >= 3 GROUP BY doc_id, lower(span)),
+    l AS (SELECT doc_id, list({{'t': '', 'n': 0, 's': span}} ORDER BY -length(span), pos) AS l FROM s GROUP BY doc_id),
+    m AS (SELECT d.doc_id, list_reduce(list_prepend({{'t': text, 'n': 0, 's': ''}}, coalesce(l, [])), lambda a, x: CASE WHEN contains(lower(a.t), lower(x.s))
+        THEN {{'t': regexp_replace(a.t, '\\Q' || x.s || '\\E', '[MASK_' || (a.n + 1) || ']', 'gi'), 'n': a.n + 1, 's': ''}} ELSE a END) AS m FROM documents d LEFT JOIN l ON d.doc_id = l.doc_id)
+    SELECT doc_id, m.t AS template, m.n::INTEGER AS n_masks FROM m""")
 def mask_deterministic(spark, d):
     docs = _inferences(table(spark, d, "documents")).select("doc_id", "text", "inferences")
     spans = leakage.evidence_spans(docs.select("doc_id", "inferences"), "inferences").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "span"))), lambda x: x["span"]).alias("spans"))
@@ -581,8 +737,12 @@ def assemble(spark, d):
 
 @query()
 def fuzzy_attribute(spark, d):
-    r = table(spark, d, "nation").select("n_nationkey", "n_name").withColumn("label", F.element_at(F.array(*map(F.lit, ("Location", "Relationsip status", "birthplace", "ocupation", "x"))), (F.col("n_nationkey") % 5 + 1).cast("int")))
-    return r.select("n_nationkey", "label", udfs.match_attribute("label").alias("attribute_key"), udfs.seq_ratio(F.col("label"), F.col("n_name")).alias("ratio"))
+    """Labels of attributes that lack a letter, one for each part; the tests hold them against the sequence matcher."""
+    labels = [x for a in dims.ATTRIBUTES for x in (a[1], a[2], a[3])]
+    p = table(spark, d, "part").select("p_partkey", "p_name", F.element_at(dims.text_array(labels), (F.col("p_partkey") % len(labels) + 1).cast("int")).alias("label"))
+    cut = (F.col("p_partkey") % F.length("label")).cast("int")
+    p = p.withColumn("label", F.concat(F.substring(F.col("label"), F.lit(1), cut), F.substring(F.col("label"), cut + 2, F.lit(99))))
+    return p.select("p_partkey", "label", udfs.match_attribute("label").alias("attribute_key"), udfs.seq_ratio(F.col("label"), F.col("p_name")).alias("ratio"))
 
 
 @query("""
@@ -648,14 +808,24 @@ def candidate_fields(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(facts.candidate_indices(F.array_append(given, F.lit("x")), valid).cast("array<string>"), " ").alias("candidates"), F.array_join(facts.descriptions(F.array(F.col("p_name"), F.lit(" ")), F.col("p_brand")), "; ").alias("descriptions"))
 
 
-@query()
+_PERSONAL = r"(?:[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\b\d{1,3}(?:\.\d{1,3}){3}\b|\d{6,})"
+_MASKED = rf"\S*{_PERSONAL}\S*(?:\s+(?:\S+\s+){{0,2}}\S*{_PERSONAL}\S*)*"
+
+
+@query(f"""
+    WITH t AS (SELECT conv_id::VARCHAR AS document_id, string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn, coalesce(role, '') || ': ' || coalesce(text, '')) AS text FROM conversations GROUP BY conv_id),
+    p AS (SELECT *, regexp_matches(text, '{_PERSONAL}') AS personal FROM t)
+    SELECT document_id, text AS original_text, regexp_replace(text, '{_MASKED}', 'a detail', 'g') AS final_text, CASE WHEN personal THEN 0.0 ELSE {dims.MISSING_SCORE}.0 END::DOUBLE AS final_privacy_score, 'success' AS status, personal AS was_masked FROM p""")
 def anonymize_rules(spark, d):
     texts = readers.conversations_as_transcripts(table(spark, d, "conversations")).select(F.col("transcript_id").cast("string").alias("document_id"), "text")
-    documents, _ = workflows.anonymize(texts, models.RuleBackend(), workflows.Options(rounds=1, variations=2))
-    return documents.drop("evidence_spans")
+    documents, _ = workflows.anonymize(texts, models.RuleBackend())
+    return documents.drop("evidence_spans", "scope", "fingerprints")
 
 
-@query()
+@query(f"""
+    WITH l AS (SELECT lang AS config, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), i AS (SELECT *, length(trim(lower({_norm("line")}), '"'' ')) >= 8 AS yes FROM l WHERE trim(line, ' ') <> ''),
+    c AS (SELECT config, count(*) AS total, count(*) FILTER (yes) AS yes_count, 0::BIGINT AS no_count, count(*) FILTER (NOT yes) AS unsure_count, 0::BIGINT AS error_count, count(DISTINCT doc_id) AS sample_count FROM i GROUP BY config)
+    SELECT *, round(yes_count / total, 3) AS recoverable_rate, round(yes_count / total, 3) AS rate_excluding_errors FROM c""")
 def profile_recoverability(spark, d):
     docs = table(spark, d, "documents").where("doc_id is not null and text is not null").select(F.col("lang").alias("config"), F.col("doc_id").cast("string").alias("transcript_id"), "text")
     lines = docs.select("transcript_id", F.posexplode(F.split("text", "\n")).alias("line", "fact")).where("trim(fact) <> ''")

@@ -138,6 +138,15 @@ def fact_files(spark: SparkSession, root: str) -> DataFrame:
     return out
 
 
+def reference_profiles(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
+    """The stored reference profiles (see sinks.write_profiles) of ids (transcript_id); fails if one has none."""
+    got = spark.read.parquet(f"{path.rstrip('/')}/reference_profiles")
+    lost = [r[0] for r in ids.select("transcript_id").join(got, "transcript_id", "left_anti").orderBy("transcript_id").limit(10).collect()]
+    if lost:
+        raise ValueError(f"no reference profile of {', '.join(map(str, lost))}" + (" and perhaps others" if len(lost) == 10 else ""))
+    return got.join(ids.select("transcript_id").distinct(), "transcript_id")
+
+
 def checked_ids(facts: DataFrame, asked: list[str] | None) -> DataFrame:
     """The ids asked for, normalised, each once, which must be there; all, sorted, if none is asked for."""
     if not asked:

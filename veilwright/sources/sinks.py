@@ -66,3 +66,23 @@ def export_paths(folder: str, prefix: str | None) -> dict[str, str]:
     safe = re.sub(r"[^a-zA-Z0-9_.-]+", "_", (prefix or "").strip()) or "nobranch"
     parts = {"probe": "original_direct_intent.json", "attributes": "expanded_privacy_attributes.json", "reid": "privacyattribute_reid.json", "rewritten": "rewritten.csv"}
     return {k: f"{folder.rstrip('/')}/{safe}_{v}" for k, v in parts.items()}
+
+
+def profiles(facts: DataFrame, by: str = "transcript_id") -> DataFrame:
+    """One row for each transcript of merged facts (fact_id, fact, attribute_key, sort_index): attributes, with the facts of
+    each in order, completed_profile, total_atomic_facts and nonempty_attributes."""
+    fact = F.struct("sort_index", "fact_id", "attribute_key", "fact")
+    own = facts.groupBy(by, "attribute_key").agg(F.array_sort(F.collect_list(fact)).alias("facts"))
+    return own.groupBy(by).agg(
+        F.array_sort(F.collect_list(F.struct("attribute_key", F.size("facts").alias("count"), "facts"))).alias("attributes"),
+        F.array_sort(F.flatten(F.collect_list("facts"))).alias("completed_profile"),
+        F.sum(F.size("facts")).alias("total_atomic_facts"), F.count(F.lit(1)).alias("nonempty_attributes"),
+    )
+
+
+def write_profiles(facts: DataFrame, path: str, summaries: DataFrame | None = None) -> None:
+    """Reference profiles as Parquet: profiles() under reference_profiles, and the summaries that they come from, if given,
+    under reference_summaries."""
+    profiles(facts).write.mode("overwrite").parquet(f"{path.rstrip('/')}/reference_profiles")
+    if summaries is not None:
+        summaries.write.mode("overwrite").parquet(f"{path.rstrip('/')}/reference_summaries")
