@@ -188,6 +188,7 @@ def test_reid_compare(spark):
     assert {(r.label, r.attribute_key, r.fact) for r in out["facts"].collect()} >= {("masked", "AGE", "old")}
     totals = {r.label: r.total_atomic_facts for r in out["totals"].collect()}
     assert set(totals) == {"original", "masked"}
+    assert "== preservation" in (said := workflows.report(out)) and "average_total_ratio" in said and "masked" in said
     p = {r.label: r for r in out["preservation"].collect()}
     assert p["original"].average_total_ratio == 1.0 and p["masked"].sample_count == 1
 
@@ -231,5 +232,15 @@ def test_stream_answers_each_request_once(spark, tmp_path):
     assert got.count() == got.select("cache_key").distinct().count() == 4
 
 
+def test_status_stream(spark, tmp_path):
+    docs = spark.sql("select timestamp'2024-01-01 00:01:00' + make_interval(0,0,0,0,0,i) as at, if(i % 3 = 0, 'failed', 'success') as status from (select explode(sequence(0, 11)) i)")
+    docs.write.parquet(f"{tmp_path}/docs")
+    stream = resume.status_stream(spark.readStream.schema(docs.schema).parquet(f"{tmp_path}/docs"), "at")
+    q = stream.writeStream.outputMode("complete").format("memory").queryName("statuses").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    got = {(r.window.start.minute, r.status): r["count"] for r in spark.table("statuses").collect()}
+    assert got == {(0, "failed"): 2, (0, "success"): 2, (5, "failed"): 1, (5, "success"): 4, (10, "failed"): 1, (10, "success"): 2}
+
+
 def test_health():
     assert models.health(None, models.RuleBackend(), "m") == "{}"

@@ -87,10 +87,6 @@ def confidence_weight(c: Column) -> Column:
     return F.round(confidence_rank(c) / F.lit(5.0), 3)
 
 
-def as_int(c: Column, default: int) -> Column:
-    return F.coalesce(c.try_cast("int"), F.lit(default))
-
-
 def certainty(c: Column) -> Column:
     """The first run of digits, from 1 to 5; 1 without any."""
     n = F.nullif(F.regexp_extract(F.coalesce(c.cast("string"), F.lit("1")), "([0-9]+)", 1), F.lit("")).try_cast("int")

@@ -287,16 +287,15 @@ def reid_compare(rows: DataFrame, reference: str, backend: Backend = ReplayBacke
 def reference_profiles(texts: DataFrame, backend: Backend, o: Options = Options(), responses: DataFrame | None = None) -> DataFrame:
     """Facts of the original transcripts (transcript_id, text): a summary for each attribute, kept if its quote is in
     the transcript, cleaned, split into facts, and merged where a model proposes it and the rule allows it."""
-    keys = dims.text_array([a[0] for a in dims.ATTRIBUTES])
-    each = texts.select("transcript_id", "text", F.explode(keys).alias("attribute_key"))
+    each = texts.select("transcript_id", "text", F.explode(A.base_list()).alias("a")).select("transcript_id", "text", F.col("a.key").alias("attribute_key"), T.scope_text(F.array("a")).alias("about"))
     on = ["transcript_id", "attribute_key"]
     key = F.concat_ws("#", *on)
-    s = parsed(_ask(each, "attribute_summary", F.concat_ws("\n", "attribute_key", "text"), key, backend, o, responses, [*on, "text"]), "supported boolean, summary_description string, evidence_quote string", out="s", stage="attribute_summary")
-    s = s.select(*on, F.coalesce("s.supported", F.lit(False)).alias("supported"), T.normalize(F.col("s.summary_description")).alias("summary"), F.when(T.quote_supported(F.col("text"), F.col("s.evidence_quote")), F.col("s.evidence_quote")).otherwise("").alias("evidence_quote"))
+    s = parsed(_ask(each, "attribute_summary", prompt(F.col("text"), F.col("about")), key, backend, o, responses, [*on, "text", "about"]), "supported boolean, summary_description string, evidence_quote string", out="s", stage="attribute_summary")
+    s = s.select(*on, "about", F.coalesce("s.supported", F.lit(False)).alias("supported"), T.normalize(F.col("s.summary_description")).alias("summary"), F.when(T.quote_supported(F.col("text"), F.col("s.evidence_quote")), F.col("s.evidence_quote")).otherwise("").alias("evidence_quote"))
     s = s.where("supported and summary <> ''")
-    clean = parsed(_ask(s, "summary_sanity", F.concat_ws("\n", "attribute_key", "summary"), key, backend, o, responses, [*on, "summary", "evidence_quote"]), "summary_description string", out="c", stage="summary_sanity")
-    clean = clean.select(*on, "evidence_quote", F.coalesce(F.nullif(T.normalize(F.col("c.summary_description")), F.lit("")), "summary").alias("summary_description"))
-    f = parsed(_ask(clean, "summary_facts", F.concat_ws("\n", "attribute_key", "summary_description"), key, backend, o, responses, [*on, "summary_description"]), "facts array<string>", out="f", stage="summary_facts")
+    clean = parsed(_ask(s, "summary_sanity", prompt(F.col("summary"), F.col("about")), key, backend, o, responses, [*on, "about", "summary", "evidence_quote"]), "summary_description string", out="c", stage="summary_sanity")
+    clean = clean.select(*on, "about", "evidence_quote", F.coalesce(F.nullif(T.normalize(F.col("c.summary_description")), F.lit("")), "summary").alias("summary_description"))
+    f = parsed(_ask(clean, "summary_facts", prompt(F.col("summary_description"), F.col("about")), key, backend, o, responses, [*on, "summary_description"]), "facts array<string>", out="f", stage="summary_facts")
     f = f.select(*on, F.posexplode("f.facts").alias("pos", "fact"))
     f = facts.expand(f, "attribute_key", "fact").withColumn("pos", F.col("pos").cast("long") * 64 + F.col("part")).drop("part")
     first = facts.merge_by_key(f, on)
@@ -349,3 +348,8 @@ def code_fact_recoverability(facts_: DataFrame, texts: DataFrame, backend: Backe
 def todo(reqs: DataFrame, responses: DataFrame, backend: Backend, o: Options = Options()) -> DataFrame:
     """New responses to the requests that have none."""
     return called(unanswered(reqs, responses), backend, o.calls)
+
+
+def report(results: dict[str, DataFrame], rows: int = 40) -> str:
+    """The first rows of each of a workflow's tables, as text for a console."""
+    return "\n".join(f"== {name}\n{df.limit(rows).toPandas().to_string(index=False)}\n" for name, df in results.items())

@@ -832,3 +832,124 @@ def profile_recoverability(spark, d):
     key = F.element_at(F.array(*[F.lit(k) for k in KEYS]), (F.col("line") % len(KEYS) + 1).cast("int"))
     f = lines.select("transcript_id", F.concat(key, F.lit("_"), F.col("line")).alias("fact_id"), key.alias("attribute_key"), "fact")
     return workflows.profile_recoverability(f, docs, models.RuleBackend())["by_config"]
+
+
+@query("SELECT event_id, 'AGE' AS attribute, unnest([event_type, 'user ' || user_id]) AS span FROM events WHERE try_cast(json_extract_string(props, '$.k') AS INTEGER) >= 3")
+def report_evidence(spark, d):
+    e = table(spark, d, "events")
+
+    def said(severity: Column) -> Column:
+        return F.struct(severity.alias("severity"), F.array("event_type", F.concat(F.lit("user "), "user_id")).alias("evidence_spans"))
+
+    report = F.create_map(F.lit("AGE"), said(F.get_json_object("props", "$.k")), F.lit("SEX"), said(F.lit("2")), F.lit("LOC"), said(F.lit("many")), F.lit("total_severity"), said(F.lit("9")), F.lit("SPAN_LEAKAGE"), said(F.lit("9")))
+    return leakage.report_spans(e.select("event_id", report.alias("report")), "report")
+
+
+@query("""
+    WITH m AS (SELECT p_brand, p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_type END AS span FROM part)
+    SELECT p_brand, min(p_partkey) AS p_partkey, arg_min(span, p_partkey) AS span FROM m WHERE length(span) >= 3 GROUP BY p_brand, lower(span)""")
+def feedback_places(spark, d):
+    k = F.col("p_partkey") % 3
+    m = table(spark, d, "part").select("p_brand", "p_partkey", F.col("p_type").alias("span"), F.when(k == 0, F.col("p_name")).when(k == 1, "").alias("mapped"))
+    return leakage.feedback_spans(m, ["p_brand"], "p_partkey")
+
+
+@query(f"""
+    WITH f AS (SELECT p_brand, ({_list(KEYS)})[(p_partkey % 5 + 1)::INTEGER] AS attribute_key, count(*) AS n, string_agg(p_name, '; ' ORDER BY p_partkey) AS facts FROM part GROUP BY 1, 2)
+    SELECT b.p_brand, k AS attribute_key, (['Age','Sex','Location','Occupation','Education','Relationship Status','Income','Place of Birth'])[list_position({_list(KEYS)}, k)] AS display_name, coalesce(facts, '') AS facts, coalesce(n, 0)::INTEGER AS count
+    FROM (SELECT DISTINCT p_brand FROM part) b, unnest({_list(KEYS)}) t(k) LEFT JOIN f ON f.p_brand = b.p_brand AND f.attribute_key = k""")
+def regrouped_facts(spark, d):
+    p = table(spark, d, "part").select("p_brand", F.element_at(dims.text_array(KEYS), (F.col("p_partkey") % 5 + 1).cast("int")).alias("attribute_key"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("fact"))
+    return facts.regroup(p, ["p_brand"], dims.attributes(spark)).withColumn("facts", F.array_join("facts", "; "))
+
+
+@query("""
+    WITH k AS (SELECT event_id, CASE WHEN event_id % 4 < 3 THEN json_extract_string(props, '$.k') END AS k FROM events) SELECT event_id, k AS recovered, k AS fenced, k AS outermost FROM k""")
+def json_recovery(spark, d):
+    i, props = F.col("event_id") % 4, F.col("props")
+    raw = F.when(i == 0, props).when(i == 1, F.concat(F.lit("<think>a\nb</think> it is "), props, F.lit(" and no more"))).when(i == 2, F.concat(F.lit("so\n```json\n"), props, F.lit("\n```\n"))).otherwise("none")
+    e = table(spark, d, "events").select("event_id", raw.alias("raw"))
+    return e.select("event_id", *[F.get_json_object(f("raw"), "$.k").alias(n) for n, f in (("recovered", udfs.json_recover), ("fenced", udfs.fill_json), ("outermost", udfs.outer_json))])
+
+
+@query("""
+    SELECT p_partkey, p_name || chr(10) || 'and more' AS sex_inference, p_brand || '/' || p_type || '/x' AS sex_guess, greatest(1, least(5, p_size % 9))::INTEGER AS sex_certainty, 'at: ' || p_brand AS loc_inference, 'MISSING' AS age_inference FROM part""")
+def parsed_answers(spark, d):
+    parts = ["Type: gender:\nInferrence: ", "p_name", "\nand more\nGuess: ", "p_brand", "; ", "p_type", " ; ; x; y\nCertainty: about ", "size", "\n\nType: Locaton\nInference: at: ", "p_brand", ":\nCertainty: none"]
+    p = table(spark, d, "part").withColumn("size", (F.col("p_size") % 9).cast("string"))
+    a = p.select("p_partkey", udfs.parse_inference(F.concat(*[F.col(x) if x in p.columns else F.lit(x) for x in parts])).alias("a"))
+    sex = F.col("a")["SEX"]
+    return a.select("p_partkey", sex["inference"].alias("sex_inference"), F.array_join(sex["guess"], "/").alias("sex_guess"), sex["certainty"].alias("sex_certainty"), F.col("a")["LOC"]["inference"].alias("loc_inference"), F.col("a")["AGE"]["inference"].alias("age_inference"))
+
+
+@query("SELECT c_name, c_custkey FROM customer WHERE c_custkey % 2 = 1 OR upper(c_name) <> c_name")
+def resume_in_case(spark, d):
+    c = table(spark, d, "customer").select("c_name", "c_custkey")
+    return selection.pending(c, c.where("c_custkey % 2 = 0").select(F.upper("c_name").alias("c_name")), "c_name", case_sensitive=True)
+
+
+@query(f"SELECT doc_id, (doc_id % 2 = 0 AND regexp_matches(text, '{LONG}')) OR regexp_matches(text, '{EMAIL}') AS was_masked, false AS skipped, doc_id % 2 = 0 AND regexp_matches(text, '{LONG}') AS seeded FROM documents")
+def masked_texts(spark, d):
+    even = F.col("doc_id") % 2 == 0
+    docs = table(spark, d, "documents").select("doc_id", "text", F.when(even, F.regexp_replace("text", LONG, "thing")).otherwise(F.col("text")).alias("rewritten"), F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0)).alias("spans"))
+    m = masking.masked(docs, "text", "rewritten", "spans")
+    filled = masking.unrefilled(F.col("template"), F.col("masks"))
+    return m.select("doc_id", "was_masked", "skipped", (F.col("was_masked") & (filled != F.col("template"))).alias("seeded"))
+
+
+@query(f"""
+    WITH i AS (SELECT p_type AS code_id, c, CASE WHEN c = 'masked' THEN 'no' WHEN length(trim(lower({_norm("p_name")}), '"'' ')) >= 8 THEN 'yes' ELSE 'unsure' END AS x FROM part, unnest(['original', 'masked']) t(c))
+    SELECT code_id, count(*)::BIGINT AS overall_total, count(*) FILTER (x = 'yes')::BIGINT AS overall_yes_count, count(*) FILTER (x = 'no')::BIGINT AS overall_no_count, count(*) FILTER (x = 'unsure')::BIGINT AS overall_unsure_count, 0::BIGINT AS overall_error_count,
+        round(count(*) FILTER (x = 'yes') / count(*), 3) AS overall_recoverable_rate FROM i GROUP BY code_id""")
+def code_recoverability(spark, d):
+    p = table(spark, d, "part")
+    names = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_type"))), lambda x: x)
+    per = p.groupBy(F.col("p_brand").alias("transcript_id")).agg(names.alias("l"))
+    coded = F.transform("l", lambda x: F.struct(F.lit("c").alias("category_id"), F.lit("C").alias("category_label"), x["p_type"].alias("code_id"), F.lower(x["p_type"]).alias("code_label"), F.lit("").alias("code_definition"), x["p_name"].alias("fact")))
+    texts = per.select("transcript_id", F.explode(F.create_map(F.lit("original"), F.array_join(F.transform("l", lambda x: x["p_name"]), ". "), F.lit("masked"), F.lit("nothing is said here"))).alias("config", "text"))
+    return workflows.code_fact_recoverability(per.select("transcript_id", coded.alias("facts")), texts, models.RuleBackend())["by_code"].drop("configs")
+
+
+_TURNS = "WITH t AS (SELECT conv_id::VARCHAR AS transcript_id, string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn, coalesce(role, '') || ': ' || coalesce(text, '')) AS text FROM conversations GROUP BY conv_id)"
+
+
+def _turns(spark, d) -> DataFrame:
+    t = readers.conversations_as_transcripts(table(spark, d, "conversations"))
+    return t.select(F.col("transcript_id").cast("string").alias("transcript_id"), "text")
+
+
+@query(f"{_TURNS} SELECT transcript_id, text, 'as written' AS reader FROM t WHERE text <> '' UNION ALL SELECT transcript_id, {_strip('text')}, 'rows' FROM t WHERE {_strip('text')} <> ''")
+def jsonl_readers(spark, d):
+    path = exchange_path(spark, "turns")
+    sinks.write_json(_turns(spark, d).select(F.col("transcript_id").alias("conversation_id"), F.col("text").alias("user_message")), path)
+    got = [f(spark, path).select("transcript_id", "text", F.lit(n).alias("reader")) for n, f in (("as written", readers.transcripts_as_written), ("rows", readers.transcript_rows))]
+    return got[0].unionByName(got[1])
+
+
+@query(f"{_TURNS} SELECT CASE WHEN transcript_id::BIGINT % 2 = 0 THEN 'dpmlm_eps_10' ELSE 'dpmlm_eps_30' END AS config, transcript_id, {_strip('text')} AS text FROM t WHERE {_strip('text')} <> ''")
+def config_texts(spark, d):
+    path = exchange_path(spark, "configs")
+    epsilon = F.when(F.col("transcript_id").cast("long") % 2 == 0, " 10").otherwise("30 ")
+    sinks.write_csv(_turns(spark, d).select("transcript_id", F.col("text").alias("rewritten_text"), epsilon.alias("epsilon")), path)
+    return readers.config_sources(spark, {"dpmlm_eps_10": path, "dpmlm_eps_30": path}).select("config", "transcript_id", "text")
+
+
+@query(f"{_TURNS} SELECT transcript_id, {_strip('text')} AS text FROM t WHERE {_strip('text')} <> '' AND transcript_id::BIGINT % 3 <> 0")
+def new_csv_rows(spark, d):
+    path, t = exchange_path(spark, "inputs"), _turns(spark, d)
+    sinks.write_csv(t.select(F.col("transcript_id").alias("Dataset_ID"), F.col("text").alias("Transcript")), path)
+    return readers.new_inputs(spark, path, t.where("transcript_id % 3 = 0"), "Dataset_ID", "Transcript").select("transcript_id", "text")
+
+
+@query(f"""
+    WITH c AS ({_CANDIDATES}) SELECT user_id::VARCHAR AS transcript_id, count(*)::INTEGER AS n, string_agg(CASE WHEN label = '' THEN ' ' ELSE label END, '; ' ORDER BY pos) AS labels, 'results' AS reader FROM c GROUP BY user_id
+    UNION ALL SELECT user_id::VARCHAR, count(*)::INTEGER, string_agg(CASE WHEN label = '' THEN ' ' ELSE label END, '; ' ORDER BY pos), 'list' FROM c GROUP BY user_id""")
+def reid_files(spark, d):
+    rows = _per_user(spark, d).select(F.col("user_id").cast("string").alias("transcript_id"), F.col("candidates").alias("identifier_candidates"))
+    one = rows.agg(F.to_json(F.array_sort(F.collect_list(F.struct("transcript_id", "identifier_candidates"))), {"ignoreNullFields": "false"}).alias("value"))
+    lists, results = exchange_path(spark, "list"), exchange_path(spark, "results")
+    one.coalesce(1).write.text(lists)
+    one.select(F.concat(F.lit('{"results": '), "value", F.lit("}"))).coalesce(1).write.text(results)
+    out = [readers.reid_rows(spark, results).withColumn("reader", F.lit("results")), readers.json_list(spark, lists, readers.REID).withColumn("reader", F.lit("list"))]
+    cols = ["transcript_id", F.size("identifier_candidates").alias("n"), F.array_join(F.transform("identifier_candidates", lambda c: c["identity_label"]), "; ").alias("labels"), "reader"]
+    return out[0].select(*cols).unionByName(out[1].select(*cols))

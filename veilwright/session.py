@@ -40,15 +40,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def exchange_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, for files that a query writes and reads again."""
-    return f"{shared_folder(spark)}/veilwright/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, for files that are written and read again. They go when the driver's Python ends."""
+    path = f"{shared_folder(spark)}/veilwright/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, computed once however often it is read. It goes when the driver's Python ends."""
+    """df as a table in the shared folder (see exchange_path), computed once however often it is read."""
     spark, path = df.sparkSession, exchange_path(df.sparkSession, name)
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

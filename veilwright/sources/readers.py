@@ -211,7 +211,3 @@ def conversations_as_transcripts(df: DataFrame) -> DataFrame:
     line = F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("text", F.lit("")))
     turns = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
     return df.groupBy(F.col("conv_id").alias("transcript_id")).agg(F.array_join(F.transform(turns, lambda t: t["line"]), "\n").alias("text"))
-
-
-def variant_rows(df: DataFrame, column: str, path: str) -> Column:
-    return F.try_variant_get(F.try_parse_json(df[column]), path, "string")
