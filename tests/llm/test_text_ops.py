@@ -1,6 +1,8 @@
 """Language ID, packing, decontamination, licenses: against plain versions, round trips and held-out accuracy."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -82,6 +84,75 @@ def test_best_fit_decreasing(most):
     assert len(rows) == want
 
 
+def plain_grams(text):
+    """Hashes of the runs of one to three letters, words bounded by one blank, one by one."""
+    letters = [c if c.isalpha() else "\0" for c in text.lower()]
+    line = [c for i, c in enumerate(["\0", *letters, "\0"]) if c != "\0" or i == 0 or ["\0", *letters, "\0"][i - 1] != "\0"]
+    if not any(c != "\0" for c in line):
+        return Counter()
+    out, m, at = Counter(), 2**64, 0x110001
+    for n in (1, 2, 3):
+        for i in range(len(line) - n + 1):
+            if n > 1 or line[i] != "\0":
+                h = 0
+                for c in line[i : i + n]:
+                    h = (h * at + ord(c)) % m
+                out[(h * 4 + n) % m * 0x9E3779B97F4A7C15 % m >> 64 - langid.SEEN_BITS] += 1
+    return out
+
+
+def plain_nearest(text, rows, model):
+    """Language and cosine by dictionaries: TF-IDF from the rows that were learned, and the model's centroids."""
+    seen, n = set(), Counter()
+    for r in rows:
+        grams = plain_grams(r)
+        seen |= set(grams)
+        n.update({x >> langid.SEEN_BITS - langid.BITS for x in grams})
+    idf = lambda bucket: math.log((1 + len(rows)) / (1 + n[bucket])) + 1
+    tf, new = Counter(), Counter()
+    for gram, k in plain_grams(text).items():
+        (tf if gram in seen else new)[gram >> langid.SEEN_BITS - langid.BITS] += k
+    w = {b: (1 + math.log(k)) * idf(b) for b, k in tf.items()}
+    unseen = math.log(1 + len(rows)) + 1
+    norm = math.sqrt(sum(x * x for x in w.values()) + sum((unseen * (1 + math.log(k))) ** 2 for k in new.values()))
+    scores = [sum(x * float(model.centroids[b, j]) for b, x in w.items()) / norm for j in range(len(model.of))]
+    best = max(range(len(scores)), key=scores.__getitem__)
+    return model.labels[model.of[best]], scores[best]
+
+
+def test_language_against_plain_tf_idf(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(WORDS[lang]) for _ in range(rng.randrange(3, 60))), lang) for i, lang in enumerate(sorted(WORDS) * 12)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.labels == tuple(sorted(WORDS)) and len(model.of) > len(WORDS)
+    texts = [t for _, t, _ in rows[:8]] + ["Ünd so, 3 w1", "zzz qqq", "a", "x-y  z\n\nq", " ".join(t for _, t, _ in rows)]
+    for t in texts:
+        assert Counter(langid._slots(t).tolist()) == plain_grams(t)
+        lang, score, _ = langid.classify(t, model)
+        want, plain = plain_nearest(t, [t for _, t, _ in rows], model)
+        assert abs(score - min(1, max(0, plain))) < 1e-5 and (lang == want or abs(score - plain) < 1e-6)
+
+
+def test_other_tongues_in_the_same_script_are_rejected(spark):
+    """Long texts in letters that the sample knows, but put together as no language of it does."""
+    rng = random.Random(13)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(WORDS[lang]) for _ in range(rng.randrange(20, 400))), lang) for i, lang in enumerate(sorted(WORDS) * 40)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    for n in (300, 3000):
+        for _ in range(5):
+            text = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randrange(3, 9))) for _ in range(n))
+            assert not langid.classify(text, model)[2]
+    own = [langid.classify(r.text, model) for r in docs.collect()]
+    assert sum(x[2] for x in own) >= 0.99 * len(own)
+
+
+def test_every_label_is_learned_and_none_crowds_out_others(spark):
+    rows = [(i, f"common words here number{i % 7}", "big") for i in range(3000)] + [(7, f"again and again {i}", "big") for i in range(3000)]
+    rows += [(9000 + i, f"{'abcdefghijklmnopqrstuvwxyz'[i % 26] * 3} {'abcdefghijklmnopqrstuvwxyz'[i // 26] * 4} tongue", f"rare{i:03}") for i in range(260)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), langid.Params(per_language=20))
+    assert set(model.labels) == {"big", *(f"rare{i:03}" for i in range(260))}
+
+
 def test_pack_round_trip(spark):
     rng = random.Random(2)
     texts = ["", None, "a", "two  blanks", " lead", "tail ", "line\n\nbreak x\r\n y", "né " * 50, " ".join(rng.choice(WORDS["fr"]) for _ in range(9000)), "x" * 5000, "it's 3.5 <|endoftext|>"]
@@ -179,6 +250,49 @@ def test_patience_alignment():
     assert licenses.align([], [1]) == []
 
 
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    return row[-1]
+
+
+def test_patience_alignment_of_unique_words_is_the_longest():
+    rng = random.Random(9)
+    for _ in range(200):
+        a, b = (rng.sample(range(60), rng.randrange(1, 50)) for _ in range(2))
+        assert len(licenses.align(a, b)) == longest_common(a, b)
+
+
+def test_edited_licenses_are_found_by_their_coverage(spark):
+    """Every built-in wording with words left out and put in, against the longest common subsequence by all pairs."""
+    rng, p = random.Random(10), licenses.Params()
+    rows, want = [], []
+    for i, (name, text) in enumerate(licenses.TEMPLATES):
+        words = licenses.words(text)
+        if len(words) < p.exact_words:
+            continue
+        for k, drop in enumerate((0.0, 0.05, 0.6)):
+            kept = [w for w in words if rng.random() >= drop]
+            edited = [y for w in kept for y in ((w, f"q{rng.randrange(99)}") if drop and rng.random() < 0.05 else (w,))]
+            rows.append((100 * i + k, " ".join([*(f"n{j}" for j in range(50)), *edited, *(f"m{j}" for j in range(50))]), None))
+            if longest_common(edited, words) >= p.min_coverage * len(words):
+                want.append((100 * i + k, name))
+    found = {(r.doc_id, r.license) for r in licenses.scan_licenses(table(spark, rows)).collect()}
+    assert len(want) >= 2 * len(rows) / 3 - 1 and set(want) <= found
+    assert {d for d, _ in found} == {d for d, _ in want}
+    # an edited copy with a whole one right after it, and the other way round: both are told
+    name, text = licenses.TEMPLATES[3 + 1]
+    words = licenses.words(text)
+    edited = [y for i, w in enumerate(words) for y in ((w, "qq") if i % 12 == 5 else (w,))]
+    for both in (edited + words, words + edited):
+        got = licenses.Scanner().scan(" ".join(["n"] * 30 + both + ["m"] * 30))
+        assert [x[0] for x in got] == [name, name] and sum(x[4] for x in got) == 2 * len(words)
+
+
 def test_licenses(spark):
     mit, apache = licenses.TEMPLATES[2][1], licenses.TEMPLATES[3][1]
     noise = " ".join(f"n{i}" for i in range(200))
