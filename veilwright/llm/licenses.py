@@ -162,16 +162,22 @@ class Scanner:
             if len(w) < least or (known[size:] - known[:-size]).max() < least:
                 continue
             hits = np.concatenate([[0], np.cumsum(self.has[k][ids])])
-            dense = np.flatnonzero(hits[size:] - hits[:-size] >= least)
-            first = 0
-            for s in dense.tolist():
+            hits = hits[size:] - hits[:-size]
+            first, full = 0, -1
+            for s in np.flatnonzero(hits >= least).tolist():
                 if s < first:
                     continue
-                # begin where the template's words do; a stretch that was aligned isn't looked at again
-                part = ids[s : s + size].tolist()
-                pairs = align(part, t)
+                # the first stretch that is dense enough may end before the license does: one that begins later, where the
+                # license can begin, may have more of the template's words. The one that aligns better counts; a stretch
+                # that was aligned isn't looked at again
+                best = s + int(hits[s : s + size - least + 1].argmax())
+                at, pairs = s, align(ids[s : s + size].tolist(), t)
+                if best not in (s, full):
+                    full = best
+                    if len(later := align(ids[best : best + size].tolist(), t)) > len(pairs):
+                        at, pairs = best, later
                 if len(pairs) >= least:
-                    a, b = s + pairs[0][0], s + pairs[-1][0] + 1
+                    a, b = at + pairs[0][0], at + pairs[-1][0] + 1
                     found.append((len(pairs), len(pairs) / len(t), -k, a, b))
                     first = b
         out, taken = [], []
