@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import re
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -146,11 +146,12 @@ class Calls:
     at_once: int = 0
 
 
-def requests(df: DataFrame, stage: str, model: str, doc_key: Column, user: Column, version: str = SCHEMA_VERSION) -> DataFrame:
-    """cache_key, stage, model, schema_version, doc_key, system, user for each row of df."""
-    r = df.select(F.lit(stage).alias("stage"), F.lit(model).alias("model"), F.lit(version).alias("schema_version"), doc_key.cast("string").alias("doc_key"), F.lit(STAGES[stage].system if stage in STAGES else "").alias("system"), user.alias("user"))
-    key = T.content_hash(**{c: F.col(c) for c in ("stage", "model", "schema_version", "doc_key", "system", "user")})
-    return r.select(key.alias("cache_key"), *r.columns)
+def requests(df: DataFrame, stage: str, model: str, doc_key: Column, user: Column, version: str = SCHEMA_VERSION, keep: Sequence[str] = ()) -> DataFrame:
+    """cache_key, stage, model, schema_version, doc_key, system, user for each row of df, and df's columns keep (of other
+    names than these)."""
+    named = {"stage": F.lit(stage), "model": F.lit(model), "schema_version": F.lit(version), "doc_key": doc_key.cast("string"), "system": F.lit(STAGES[stage].system if stage in STAGES else ""), "user": user}
+    r = df.select(*keep, *[c.alias(n) for n, c in named.items()])
+    return r.select(T.content_hash(**{n: F.col(n) for n in named}).alias("cache_key"), *named, *keep)
 
 
 def replayed(reqs: DataFrame, responses: DataFrame) -> DataFrame:
@@ -185,7 +186,8 @@ def called(reqs: DataFrame, backend: Backend, calls: Calls = Calls()) -> DataFra
                 out.append((r.cache_key, raw, error, pd.Timestamp.now("UTC")))
             yield pd.DataFrame(out, columns=["cache_key", "raw", "error", "created_at"])
 
-    return (reqs.repartition(calls.at_once) if calls.at_once else reqs).mapInPandas(run, RESPONSE)
+    asked = reqs.select("cache_key", "stage", "model", "system", "user")
+    return (asked.repartition(calls.at_once) if calls.at_once else asked).mapInPandas(run, RESPONSE)
 
 
 def answered(reqs: DataFrame, backend: Backend, responses: DataFrame | None = None, calls: Calls = Calls()) -> tuple[DataFrame, DataFrame]:

@@ -53,10 +53,10 @@ def pure_adaptive(**changes) -> Options:
 
 
 def _ask(df: DataFrame, stage: str, user: Column, key: Column, backend: Backend, o: Options, responses: DataFrame | None, keep: list[str]) -> DataFrame:
-    """df's columns keep with raw and error of a stage's answers. The key names rows of df."""
-    keyed = df.select(*keep, key.cast("string").alias("_key"), user.alias("_user"))
-    got, _ = answered(requests(keyed, stage, o.model, F.col("_key"), F.col("_user")), backend, responses, o.calls)
-    return keyed.join(got.select(F.col("doc_key").alias("_key"), "raw", "error"), "_key", "left").drop("_key", "_user")
+    """df's columns keep with raw and error of a stage's answers. The key names rows of df. Rows meet their answers once, by
+    the request's hash, so a stage shuffles its texts once."""
+    got, _ = answered(requests(df, stage, o.model, key, user, keep=keep), backend, responses, o.calls)
+    return got.select(*keep, "raw", "error")
 
 
 def scoped(docs: DataFrame, scopes: DataFrame | None, o: Options = Options()) -> DataFrame:
