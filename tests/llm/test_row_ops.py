@@ -245,6 +245,11 @@ def test_top_k(spark, params):
     assert sorted(map(tuple, topk.top_k(df, 50, 5, params).collect())) == sorted(plain_top(vectors, 50, 5))
     far = spark.createDataFrame([(0, [3e38, 1.0]), (1, [3e38, 2.0]), (2, [-3e38]), (3, [1e30]), (4, [-1e30])], "vec_id long, embedding array<float>")
     assert [(r.vec_id, r.score) for r in topk.top_k(far, 50, 5, params).orderBy("rank").collect()] == [(1, 2**63 - 1), (3, 2**63 - 1), (4, -(2**63)), (2, -(2**63))]
+    # norms beyond the doubles: nothing bounds these, and none may be left out; 256 * x of the last is beyond them itself
+    huge = [(0, [1e160, 2.0]), (1, [1e170, 1.0]), (2, [-1e165, 0.5]), (3, [3.0, 4.0]), (4, [1e300, -1e300]), (5, [2e160, 1.0]), (50, [1.0, -1.0]), (51, [1e155, 0.0]), (52, [1e308, 0.0])]
+    df_huge = spark.createDataFrame(huge, "vec_id long, embedding array<double>")
+    got, want = topk.top_k(df_huge, 50, 5, params).collect(), plain_top(huge[:-1], 50, 5)
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == sorted((q, rank, v) for q, rank, v, _ in want)
     few = df.where("vec_id in (0, 1, 2)")
     assert sorted(map(tuple, topk.top_k(few, 50, 5, params).collect())) == sorted(plain_top(vectors[:3], 50, 5))
     assert topk.top_k(df.limit(0), 50, 5, params).collect() == []

@@ -45,11 +45,12 @@ class Params:
 
 def quantised(x: list[float | None] | None, scale: int) -> np.ndarray | None:
     """floor(scale * x) as doubles, which hold it exactly; None for vectors that take no part: null, or with null or
-    non-finite components."""
+    non-finite components (scale * x beyond the doubles is not finite either)."""
     if x is None or None in x:
         return None
-    v = np.array(x, dtype=np.float64)
-    return np.floor(scale * v) if np.isfinite(v).all() else None
+    with np.errstate(over="ignore"):
+        v = scale * np.array(x, dtype=np.float64)
+    return np.floor(v) if np.isfinite(v).all() else None
 
 
 def _matrix(rows: list[np.ndarray]) -> np.ndarray:
@@ -122,6 +123,15 @@ def _columns(b: pa.RecordBatch | list) -> tuple[np.ndarray, np.ndarray, np.ndarr
 Best = tuple[list[int], list[int]]  # scores and ids, best first
 
 
+def _least(best: Best) -> float:
+    """The last score of best as a double; infinite where doubles end before it."""
+    last = best[0][-1]
+    try:
+        return float(last)
+    except OverflowError:
+        return np.inf if last > 0 else -np.inf
+
+
 def _merge(best: Best, score: list[int], ids: list[int], k: int) -> Best:
     found = sorted(zip((-x for x in [*best[0], *score]), [*best[1], *ids], strict=True))[:k]
     return [-x for x, _ in found], [i for _, i in found]
@@ -143,14 +153,15 @@ def _searched(queries: Broadcast, k: int, chunk: int):
                     both = q2[part][:, None] + c2[None, :]
                     # 1 over the true bound at least: rounding must not hide a row
                     bound = (both - low * low) / 2 + 1 + 1e-9 * both
+                    bound[np.isnan(bound)] = np.inf  # norms beyond the doubles bound nothing
                     for j in range(len(bound)):
                         i, up = first + j, bound[j]
                         left = np.flatnonzero(ids != q_ids[i])
                         if len(best[i][0]) == k:
-                            left = left[up[left] >= best[i][0][-1]]
+                            left = left[up[left] >= _least(best[i])]
                         left = left[np.argsort(-up[left], kind="stable")]
                         for x in range(0, len(left), chunk):
-                            if len(best[i][0]) == k and up[left[x]] < best[i][0][-1]:
+                            if len(best[i][0]) == k and up[left[x]] < _least(best[i]):
                                 break
                             now = left[x : x + chunk]
                             if i in q_large or any(n in c_large for n in now.tolist()) if c_large or q_large else False:
@@ -159,7 +170,7 @@ def _searched(queries: Broadcast, k: int, chunk: int):
                             else:
                                 score = c[now, :width] @ q[i, :width]
                                 if len(best[i][0]) == k:
-                                    now, score = now[score >= best[i][0][-1]], score[score >= best[i][0][-1]]
+                                    now, score = now[score >= _least(best[i])], score[score >= _least(best[i])]
                                 top = np.lexsort((ids[now], -score))[:k]
                                 now, score = now[top], [int(s) for s in score[top]]
                             best[i] = _merge(best[i], score, ids[now].tolist(), k)
