@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from veilwright.llm import golay, graph, simhash
+from veilwright.llm import golay, graph, setjoin, simhash
 from veilwright.llm.runtime import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp long, component_id string, Key string"
@@ -126,6 +126,17 @@ def test_keep_one(spark):
     assert sorted((r.doc_id or -1, len(r.text)) for r in kept.collect()) == [(-1, 22), (4, len(t) + 5), (5, 20)]
 
 
+@pytest.mark.parametrize("found", [simhash.near_duplicates, setjoin.near_duplicates])
+def test_keep_one_of_each_group_whatever_ids_repeat(spark, found):
+    a, b = (" ".join(f"{c}{i}" for i in range(500)) for c in "ab")
+    rows = [(1, a), (2, a), (2, b), (3, b + " more"), (2, a + " more"), (1, a), (None, b), (None, "unlike")]
+    kept = sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(table(spark, rows), found).collect())
+    assert kept == [(0, "unlike"), (1, a), (2, b)]
+    one_id = [t for _, t in rows]
+    kept = [r.text for r in simhash.keep_one(table(spark, [(7, t) for t in one_id]), found).collect()]
+    assert sorted(t[0] for t in kept) == ["a", "b", "u"]
+
+
 @pytest.mark.parametrize("broadcast_edges", [0, 1000])
 def test_components(spark, broadcast_edges):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100), (7, 200), (300, 301), (301, 300), (None, 5)]

@@ -20,7 +20,7 @@ from itertools import combinations, permutations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwright.llm import golay
@@ -163,29 +163,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(classes, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id", "n_same")
 
 
-def _id_slot(kid: Column) -> Column:
-    return F.xxhash64(F.lit("kept"), kid)
-
-
 def keep_one(docs: DataFrame, found: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
     """docs with one document of each near-duplicate group that `found` tells, that with the smallest doc_id; columns
     unchanged.
 
-    Rows that repeat a kept doc_id and text collapse to one; a kept doc_id with several texts keeps them all.
-    A document without doc_id comes after all others and stays if its group has no other; of several such,
-    one stays.
+    Groups are told by text, so rows that share a doc_id but not a group don't keep each other. Rows that repeat a
+    doc_id and text collapse to one; of several texts that a group has under its smallest doc_id, one stays. A document
+    without doc_id comes after all others and stays if its group has no other; of several such, one stays.
 
-    What goes and what repeats is found on ids alone. A bitmap of fixed size tells which rows may be among those; only
+    What goes and what repeats is found on numbers alone. A bitmap of fixed size tells which rows may be among those; only
     they are shuffled to be told for certain, the others stay where they are.
     """
     ship(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "keep")
     kid, tid = fresh(docs, "kept_id", "text_id")
-    own = F.lit(2**62) + F.xxhash64("text").bitwiseAND(F.lit(2**61 - 1))
-    keyed = docs.withColumns({kid: F.coalesce(F.col("doc_id").cast("long"), own), tid: F.xxhash64("text")})
-    told = scratch.keep(found(keyed, id_col=kid).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept")), "told")
-    again = keyed.groupBy(kid, tid).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(kid).alias("doc_id"))
-    bits = bitmap(told.where("not kept").select("doc_id").unionByName(again).select(_id_slot(F.col("doc_id")).alias("x")))
-    may = in_bitmap(bits, _id_slot(F.col(kid)))
-    moved = keyed.where(may).join(told.where("kept").select(F.col("doc_id").alias(kid)), kid, "left_semi").dropDuplicates([kid, tid])
+    keyed = docs.withColumns({kid: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), tid: F.xxhash64("text")})
+    told = scratch.keep(found(keyed, id_col=tid).groupBy("doc_id").agg(F.min("component_id").alias("g"), F.count(F.lit(1)).alias("n")), "told")
+    others = told.where("doc_id <> g")
+    several = told.where("n > 1 or doc_id <> g").select(F.col("doc_id").alias(tid), "g").unionByName(others.select(F.col("g").alias(tid), "g"))
+    several = scratch.keep(several.distinct(), "several")
+    pairs = keyed.where(in_bitmap(bitmap(several.select(F.col(tid).alias("x"))), F.col(tid))).groupBy(kid, tid).agg(F.count(F.lit(1)).alias("n"))
+    pairs = scratch.keep(pairs.join(several, tid), "pairs")
+    first = pairs.groupBy("g").agg(F.min(F.struct(kid, tid)).alias("k")).select("k.*")
+    gone = scratch.keep(pairs.select(kid, tid).join(first, [kid, tid], "left_anti"), "gone")
+    slot = F.xxhash64(F.lit("kept"), F.col(kid), F.col(tid))
+    may = in_bitmap(bitmap(gone.unionByName(pairs.where("n > 1").select(kid, tid)).select(slot.alias("x"))), slot)
+    moved = keyed.where(may).join(gone, [kid, tid], "left_anti").dropDuplicates([kid, tid])
     return keyed.where(~may).select(*docs.columns).unionByName(moved.select(*docs.columns))
