@@ -97,6 +97,23 @@ def test_substring_dedup(spark, n):
     assert substring.repeat_digest(table(spark, []), n).collect() == []
 
 
+def test_substring_dedup_moves_no_half_window_that_does_not_repeat(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(400)), None) for i in range(30)]
+    shared = " ".join(f"both{j}" for j in range(60))
+    rows += [(100 + i, f"a{i} {shared} b{i}", None) for i in range(2)]
+    written, keep = {}, substring.Scratch.keep
+
+    def kept(self, df, name="t"):
+        out = keep(self, df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(substring.Scratch, "keep", kept)
+    assert Counter(map(tuple, substring.repeat_digest(table(spark, rows), 50).collect())) == Counter(plain_repeats(rows, 50))
+    assert written["whole"] == 2
+    assert all(n <= len(rows) for name, n in written.items() if name not in ("windows", "before"))
+
+
 def test_repeat_lengths_double_until_none_survives(spark):
     a = [f"w{i}" for i in range(200)]
     rows = [(1, " ".join(a), None), (2, " ".join(["x", *a[10:57], "y", *a[100:110]]), None), (3, " ".join(a[190:]), None), (None, " ".join(a[:12]), None), (5, None, None), (6, "z " * 100, None)]

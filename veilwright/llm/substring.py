@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwright.llm.runtime import Scratch, ship
+from veilwright.llm.runtime import Scratch, bitmap, in_bitmap, is_in, ship
 
 NO_ID = 2**63 - 1
 B1, B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
@@ -66,6 +67,11 @@ def row_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text.cast("binary"), F.lit(b""))))
 
 
+def _texts(column: pa.Array) -> Iterator[bytes | None]:
+    """A batch's texts one at a time; to_pylist() would hold all of them once more."""
+    return (x.as_py() for x in column.cast(pa.large_binary()))
+
+
 def _same_row(o: int, t: bytes, n: int) -> list[pa.Array]:
     return [pa.array(np.full(n, o)), pa.repeat(pa.scalar(t, pa.binary()), n)]
 
@@ -100,7 +106,7 @@ def _first_level(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, sha, at, hs = [], [], [], []
-            for text in b.column(3).cast(pa.large_binary()).to_pylist():
+            for text in _texts(b.column(3)):
                 words = (text or b"").split()
                 n.append(len(words))
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
@@ -118,11 +124,26 @@ def _first_level(min_words: int):
     return run
 
 
+def _maybe_shared(bits: Broadcast):
+    """A row for each half-length window whose hash may be in a bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, len(b), 256):
+                part = b.slice(i, 256)
+                h = part.column(3).flatten().to_numpy(zero_copy_only=False)
+                may = is_in(bits.value, h)
+                row = pa.array(np.repeat(np.arange(len(part)), part.column(3).value_lengths().to_numpy(zero_copy_only=False))[may])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), part.column(2).flatten().filter(pa.array(may)), pa.array(h[may])], names=["o", "t", "at", "h"])
+
+    return run
+
+
 def _second_level(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["w1", "w2", "o", "t", "start"]
         for b in batches:
-            for o, t, text, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.large_binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for o, t, text, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _texts(b.column(2)), b.column(3).to_pylist(), strict=True):
                 w = Windows(word_hashes(text))
                 chosen, _ = w.chosen(min_words)
                 starts = np.flatnonzero(np.isin(chosen, np.array(at, dtype=np.int64)))
@@ -137,7 +158,7 @@ def _second_level(min_words: int):
 def _all_windows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for o, t, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.large_binary()).to_pylist(), strict=True):
+            for o, t, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _texts(b.column(2)), strict=True):
                 w = Windows(word_hashes(text))
                 for i in range(0, w.n - length + 1, 1 << 16):
                     s = np.arange(i, min(i + (1 << 16), w.n - length + 1))
@@ -159,7 +180,7 @@ def _cut(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept, removed = [], []
-            for text, starts in zip(b.column(2).cast(pa.large_binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for text, starts in zip(_texts(b.column(2)), b.column(3).to_pylist(), strict=True):
                 words = text.split()
                 keep = keep_mask(len(words), np.array(starts, dtype=np.int64), min_words)
                 kept.append(b" ".join(w for w, k in zip(words, keep.tolist(), strict=True) if k).decode())
@@ -199,9 +220,9 @@ def repeat_lengths(docs: DataFrame, min_words: int = 50) -> DataFrame:
     return found.groupBy("o").agg(F.max("longest").alias("longest")).select(F.when(F.col("o") != NO_ID, F.col("o")).alias("doc_id"), "longest")
 
 
-def _levels(docs: DataFrame, min_words: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _levels(docs: DataFrame, min_words: int, scratch: Scratch, kept: Column) -> tuple[DataFrame, DataFrame]:
     """base: a row of doc_id, o, t, n, sha, first for each row of docs, where first is the smallest o with the same
-    words; cut: o, t, n_removed, kept_text of those first documents that lose words."""
+    words; cut: o, t, n_removed and kept (of kept_text) of those first documents that lose words."""
     o, t = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("o"), row_key(F.col("text")).alias("t")
     text = F.col("text").cast("string").alias("text")
     level = docs.select(F.col("doc_id").cast("long").alias("doc_id"), o, t, text).mapInArrow(_first_level(min_words), "doc_id long, o long, t binary, n long, sha string, at array<int>, h array<long>")
@@ -210,23 +231,31 @@ def _levels(docs: DataFrame, min_words: int, scratch: Scratch) -> tuple[DataFram
     # this and two more below are tables of their own: only a join of two plain exchanges can split the rows of a very
     # large group of copies, or of a very common passage
     same = scratch.keep(same, "same")
-    level = level.join(same, "sha", "left").withColumn("first", F.coalesce("first", "o"))
-    base = scratch.keep(level.select("doc_id", "o", "t", "n", "sha", "first"), "base")
-    halves = scratch.keep(level.where("o = first and at is not null").select("o", "t", F.explode(F.arrays_zip("at", "h")).alias("x")).select("o", "t", "x.at", "x.h"), "halves")
-    shared = halves.groupBy("h").agg(F.min("o").alias("a"), F.max("o").alias("b")).where("a < b").select("h")
+    # what a bitmap rules out doesn't move: documents without copies here; below, half-length windows that don't repeat,
+    # which stay in arrays, a row a document, and texts without such windows
+    copied = in_bitmap(bitmap(same.select(F.xxhash64("sha").alias("x"))), F.xxhash64("sha"))
+    alone = level.where(~copied).withColumn("first", F.col("o"))
+    base = alone.unionByName(level.where(copied).join(same, "sha", "left").withColumn("first", F.coalesce("first", "o")))
+    own = [F.when(F.col("o") == F.col("first"), F.col(x)).alias(x) for x in ("at", "h")]
+    # a table too, as a stage that asks two functions has twice the Python workers in memory
+    base = scratch.keep(base.select("doc_id", "o", "t", "n", "sha", "first", *own), "base")
+    halves = base.where("at is not null").select("o", "t", "at", "h")
+    shared = halves.select("o", F.explode("h").alias("h")).groupBy("h").agg(F.min("o").alias("a"), F.max("o").alias("b")).where("a < b").select("h")
     shared = scratch.keep(shared, "shared")
-    some = halves.join(shared, "h", "left_semi").groupBy("o", "t").agg(F.collect_set("at").alias("at"))
-    whole = docs.select(o, t, text).join(some, ["o", "t"]).select("o", "t", "text", "at")
-    whole = scratch.keep(whole, "whole")
+    halves = halves.mapInArrow(_maybe_shared(bitmap(shared.select(F.col("h").alias("x")))), "o long, t binary, at int, h long")
+    some = scratch.keep(halves.join(shared, "h", "left_semi").groupBy("o", "t").agg(F.collect_set("at").alias("at")), "some")
+    row = F.xxhash64("o", "t")
+    moved = docs.select(o, t, text).where(in_bitmap(bitmap(some.select(row.alias("x"))), row))
+    whole = scratch.keep(moved.join(some, ["o", "t"]).select("o", "t", "text", "at"), "whole")
     windows = scratch.keep(whole.mapInArrow(_second_level(min_words), "w1 long, w2 long, o long, t binary, start int"), "windows")
     before = windows.groupBy("w1", "w2").agg(F.min("o").alias("a"), F.max("o").alias("b")).where("a < b").select("w1", "w2", "a")
     before = scratch.keep(before, "before")
     starts = windows.join(before, ["w1", "w2"]).where("o > a").groupBy("o", "t").agg(F.collect_set("start").alias("starts"))
     cut = whole.select("o", "t", "text").join(starts, ["o", "t"]).mapInArrow(_cut(min_words), "o long, t binary, n_removed long, kept_text string")
-    cut = scratch.keep(cut, "cut")
-    for x in (halves, windows, whole):
+    cut = scratch.keep(cut.select("o", "t", "n_removed", kept), "cut")
+    for x in (level, same, shared, some, windows, whole, before):
         scratch.drop(x)
-    return base, cut
+    return base.select("doc_id", "o", "t", "n", "sha", "first"), cut
 
 
 def repeat_digest(docs: DataFrame, min_words: int = 50) -> DataFrame:
@@ -238,8 +267,8 @@ def repeat_digest(docs: DataFrame, min_words: int = 50) -> DataFrame:
     each with its own result. An empty table gives an empty one; other columns aren't read.
     """
     ship(docs.sparkSession)
-    base, cut = _levels(docs, min_words, Scratch(docs.sparkSession, "substring"))
-    short = cut.select("o", "t", "n_removed", F.sha2("kept_text", 256).alias("cut_sha")).dropDuplicates(["o", "t"])
+    base, cut = _levels(docs, min_words, Scratch(docs.sparkSession, "substring"), F.sha2("kept_text", 256).alias("cut_sha"))
+    short = cut.dropDuplicates(["o", "t"])
     copy = F.col("o") > F.col("first")
     return base.join(short, ["o", "t"], "left").select(
         "doc_id",
@@ -253,7 +282,7 @@ def drop_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """(doc_id, kept_text, n_removed) for each row of docs: its kept words, joined by blanks where words were cut
     and as they stand in the text where none were. See repeat_digest() for the cases."""
     ship(docs.sparkSession)
-    base, cut = _levels(docs, min_words, Scratch(docs.sparkSession, "substring"))
+    base, cut = _levels(docs, min_words, Scratch(docs.sparkSession, "substring"), F.col("kept_text"))
     firsts = base.groupBy("o", "t").agg(F.max(F.col("o") > F.col("first")).alias("copy"), F.max("n").alias("n"))
     o, t = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), row_key(F.col("text"))
     rows = docs.select("doc_id", "text", o.alias("o"), t.alias("t")).join(firsts, ["o", "t"]).join(cut.dropDuplicates(["o", "t"]), ["o", "t"], "left")
