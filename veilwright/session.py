@@ -39,6 +39,15 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read, dealt out over as many tasks as shuffles have where its files would give few: a file is read in as
+    many tasks as it has row groups, often one, and work that is heavy for each row would be done there."""
+    spark = table.sparkSession
+    tasks = table._jdf.queryExecution().toRdd().getNumPartitions()
+    least = 4 * spark.sparkContext.defaultParallelism
+    return table if tasks >= least else table.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), least))
+
+
 def exchange_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, for files that are written and read again. They go when the driver's Python ends."""
     path = f"{shared_folder(spark)}/veilwright/{name}-{uuid.uuid4().hex}"
