@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilwright import dims
 from veilwright.functions import text as T
+from veilwright.functions.udfs import found_words
 from veilwright.operators.selection import dedupe_keep_first
 
 INFERENCES = "map<string, struct<inference:string, guesses:array<string>, certainty:string, evidence_spans:array<string>>>"
@@ -40,21 +41,17 @@ def report_spans(df: DataFrame, report: str, least: int = 3) -> DataFrame:
 def span_leakage(spans: DataFrame, texts: DataFrame, on: list[str]) -> DataFrame:
     """spans (on, pos, span) with span_norm, token_overlap, severity and reason against the rewrites (on, text).
 
-    A document's spans are gathered to meet its normalised text once, as only `contains` needs the text. Words are matched
-    by an equi-join on document and word, so neither the text nor its words stand on every span's row.
+    A document's spans are gathered as they are to meet its normalised text once, and all that is told of them is told
+    there: what moves is each span and each text once, never a row for each word.
     """
-    norm = spans.withColumn("span_norm", T.plain(F.col("span"))).withColumn("_w", T.long_words(F.col("span_norm"), dims.LEAK_WORD, dims.LEAK_STOP))
     t = texts.select(*on, T.plain(F.col("text")).alias("_text"))
-    rest = [c for c in norm.columns if c not in on]
-    many = norm.groupBy(*on).agg(F.collect_list(F.struct(*rest)).alias("_spans")).join(t, on)
-    held = many.select(*on, F.explode(F.transform("_spans", lambda s: F.struct(*[s[c].alias(c) for c in rest], F.contains(F.col("_text"), s["span_norm"]).alias("_in")))).alias("_s")).select(*on, "_s.*")
-    key = [*on, "pos", "span_norm"]
-    words = t.select(*on, F.explode(F.array_distinct(T.words(F.col("_text")))).alias("_word"))
-    asked = norm.where(F.size("_w") > 0).dropDuplicates(key).select(*key, F.explode("_w").alias("_word"))
-    found = asked.join(words, [*on, "_word"]).groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    share = F.when(F.size("_w") > 0, F.coalesce("_n", F.lit(0)) / F.size("_w")).otherwise(F.lit(0.0))
-    out = held.join(found, key, "left").withColumn("_share", share)
-    severity = T.leak_severity(F.col("span_norm"), F.col("_in"), F.size("_w"), F.col("_share"))
+    rest = [c for c in spans.columns if c not in on]
+    many = spans.groupBy(*on).agg(F.collect_list(F.struct(*rest)).alias("_spans")).join(t, on)
+    many = many.select(*on, "_spans", "_text", F.transform("_spans", lambda s: T.plain(s["span"])).alias("_norms"))
+    each = many.withColumn("_got", found_words("_norms", "_text")).select(*on, F.explode(F.arrays_zip("_spans", "_norms", "_got")).alias("_s"))
+    out = each.select(*on, "_s._spans.*", F.col("_s._norms").alias("span_norm"), "_s._got.*")
+    out = out.withColumn("_share", F.when(F.col("_n") > 0, F.col("_found") / F.col("_n")).otherwise(F.lit(0.0)))
+    severity = T.leak_severity(F.col("span_norm"), F.col("_in"), F.col("_n"), F.col("_share"))
     out = out.withColumn("severity", severity).withColumn("token_overlap", F.round("_share", 3)).withColumn("reason", T.leak_reason(F.col("severity")))
     return out.select(*spans.columns, "span_norm", "severity", "token_overlap", "reason")
 
