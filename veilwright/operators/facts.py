@@ -35,13 +35,14 @@ def expand(df: DataFrame, attribute: str, fact: str) -> DataFrame:
 
 def merge_by_key(df: DataFrame, by: list[str], fact: str = "fact", pos: str = "pos", weight: str | None = None, support: list[str] = ()) -> DataFrame:
     """One row for each key of facts in a group: the first wording, the greatest weight, the sorted union of each support
-    array, and n, the number merged. Sums and minima are taken before the shuffle."""
+    array, and n, the number merged. Sums and minima are taken before the shuffle; where the wording isn't asked for, it isn't
+    kept, and rows are hashed rather than sorted."""
     key = T.fact_key(F.col(fact))
-    aggs = [F.min_by(F.struct(fact, pos), pos).alias("_f"), F.count(F.lit(1)).alias("n")]
+    aggs = [F.min_by(fact, pos).alias("_fact"), F.min(pos).alias("_pos"), F.count(F.lit(1)).alias("n")]
     aggs += [F.max(weight).alias(weight)] if weight else []
     aggs += [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in support]
     out = df.withColumn("fact_key", key).where("fact_key <> ''").groupBy(*by, "fact_key").agg(*aggs)
-    return out.select(*by, "fact_key", F.col(f"_f.{fact}").alias(fact), F.col(f"_f.{pos}").alias(pos), "n", *([weight] if weight else []), *support)
+    return out.select(*by, "fact_key", F.col("_fact").alias(fact), F.col("_pos").alias(pos), "n", *([weight] if weight else []), *support)
 
 
 def confidences(given: Column) -> Column:
