@@ -76,12 +76,17 @@ def backmap(spans: DataFrame, texts: DataFrame, on: list[str]) -> DataFrame:
     the line half of them (the first of equals); null if there is none. An equi-join on the document."""
     quoted = F.concat(F.lit(r"(?iu)\Q"), F.replace(F.col("span"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E"))
     j = spans.join(texts.select(*on, "text"), on).withColumn("_exact", F.when(F.col("span") != "", T.strip(F.regexp_substr("text", quoted))))
-    q = T.long_words(F.lower("span"), dims.MAP_WORD)
     lines = F.filter(F.transform(F.split("text", r"\r\n|[\n\r\x0B\f\x{85}\x{2028}\x{2029}\x{1C}-\x{1E}]"), T.strip), lambda x: F.length(x) >= 3)
-    scored = F.transform(lines, lambda x, i: F.struct(F.size(F.array_intersect(q, T.long_words(F.lower(x), dims.MAP_WORD))).alias("n"), (-i).alias("i"), x.alias("line")))
-    best = F.array_max(scored)
-    line = F.when((F.size(q) >= 2) & (best["n"] > 0) & (best["n"] / F.size(q) >= 0.5), best["line"])
-    return j.withColumn("mapped", F.coalesce("_exact", line)).drop("text", "_exact")
+
+    def once(value: Column, use) -> Column:  # a lambda's body is evaluated for each element, and what it names in full with it
+        return F.get(F.transform(F.array(value), use), 0)
+
+    def line_of(q: Column) -> Column:
+        scored = F.transform(lines, lambda x, i: F.struct(F.size(F.array_intersect(q, T.long_words(F.lower(x), dims.MAP_WORD))).alias("n"), (-i).alias("i"), x.alias("line")))
+        best = once(F.array_max(scored), lambda b: F.when((b["n"] > 0) & (b["n"] / F.size(q) >= 0.5), b["line"]))
+        return F.when(F.size(q) >= 2, best)
+
+    return j.withColumn("mapped", F.coalesce("_exact", once(T.long_words(F.lower("span"), dims.MAP_WORD), line_of))).drop("text", "_exact")
 
 
 def feedback_spans(mapped: DataFrame, on: list[str], pos: str) -> DataFrame:
