@@ -257,7 +257,8 @@ def parsed(df: DataFrame, schema: str, column: str = "raw", out: str = "answer",
     if mode in ("fenced", "outer"):
         return df.withColumn(out, F.from_json((fill_json if mode == "fenced" else outer_json)(F.col(column)), schema))
     strict = F.from_json(F.when(F.try_parse_json(column).isNotNull(), F.col(column)), schema)
-    return df.withColumn(out, F.coalesce(strict, F.from_json(json_recover(F.col(column)), schema)))
+    # what parses goes to Python as a null, so that only the other answers are sent there and read again
+    return df.withColumn(out, strict).withColumn(out, F.coalesce(out, F.from_json(json_recover(F.when(F.col(out).isNull(), F.col(column))), schema)))
 
 
 def health(spark, backend: Backend, model: str) -> str:
